@@ -410,7 +410,7 @@ def a3(spark, d):
 
 @query(
     "a4_latest_per_tick",
-    """SELECT user_id AS channel_id, epoch_ms(ts) // 1800000 AS tick, arg_max(event_id, (ts, event_id)) AS msg_id,
+    """SELECT user_id AS channel_id, epoch_us(ts) // 1800000000 AS tick, arg_max(event_id, (ts, event_id)) AS msg_id,
       arg_max(event_type, (ts, event_id)) AS content, count(*) AS n_messages FROM events GROUP BY 1, 2""",
 )
 def a4(spark, d):
@@ -631,7 +631,7 @@ def u2(spark, d):
 
 @query(
     "st3_cooldown_batch",
-    """WITH RECURSIVE t AS (SELECT user_id % 3 AS channel_id, epoch_ms(ts) // 5500 AS tick, count(*) AS n_messages
+    """WITH RECURSIVE t AS (SELECT user_id % 3 AS channel_id, epoch_us(ts) // 5500000 AS tick, count(*) AS n_messages
       FROM events GROUP BY 1, 2),
     a AS (SELECT channel_id, min(tick) AS tick FROM t GROUP BY channel_id
       UNION ALL SELECT * FROM (SELECT a.channel_id, (SELECT min(t.tick) FROM t WHERE t.channel_id = a.channel_id

@@ -8,17 +8,27 @@ from pyspark.sql import types as T
 
 from threadloom.functions.jsonio import encode_image
 
-MESSAGE_SCHEMA = T.StructType.fromDDL(
-    "msg_id BIGINT, channel_id BIGINT, conv_id BIGINT, turn BIGINT, ts TIMESTAMP, author_id BIGINT, "
-    "author_name STRING, is_bot BOOLEAN, content STRING, ref_msg_id BIGINT, "
-    "mentioned_ids ARRAY<BIGINT>, attachments ARRAY<STRUCT<url: STRING, width: INT, height: INT>>"
-)
-TOKEN_SCHEMA = T.StructType.fromDDL("request_id BIGINT, seq BIGINT, ts TIMESTAMP, raw STRING")
-LOG_SCHEMA = T.StructType.fromDDL("ts TIMESTAMP, source STRING, message STRING, exception STRING")
-USER_SCHEMA = T.StructType.fromDDL(
-    "user_id BIGINT, username STRING, nickname STRING, display_name STRING"
+_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(),
+          "boolean": T.BooleanType(), "timestamp": T.TimestampType()}
+
+
+def _schema(**fields) -> T.StructType:
+    return T.StructType(
+        [T.StructField(n, _TYPES[t] if isinstance(t, str) else t) for n, t in fields.items()]
+    )
+
+
+ATTACHMENT = _schema(url="string", width="int", height="int")
+MESSAGE_SCHEMA = _schema(
+    msg_id="long", channel_id="long", conv_id="long", turn="long", ts="timestamp", author_id="long",
+    author_name="string", is_bot="boolean", content="string", ref_msg_id="long",
+    mentioned_ids=T.ArrayType(T.LongType()), attachments=T.ArrayType(ATTACHMENT),
 )
-CHANNEL_SCHEMA = T.StructType.fromDDL("channel_id BIGINT, name STRING")
+TOKEN_SCHEMA = _schema(request_id="long", seq="long", ts="timestamp", raw="string")
+RESPONSE_SCHEMA = _schema(request_id="long", body="string")
+LOG_SCHEMA = _schema(ts="timestamp", source="string", message="string", exception="string")
+USER_SCHEMA = _schema(user_id="long", username="string", nickname="string", display_name="string")
+CHANNEL_SCHEMA = _schema(channel_id="long", name="string")
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -57,7 +67,7 @@ def read_responses(spark: SparkSession, path: str, fmt: str = "json") -> DataFra
         return spark.read.text(path).select(
             F.lit(None).cast("bigint").alias("request_id"), F.col("value").alias("body")
         )
-    return _read(spark, path, fmt, T.StructType.fromDDL("request_id BIGINT, body STRING"))
+    return _read(spark, path, fmt, RESPONSE_SCHEMA)
 
 
 def read_logs(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
