@@ -283,17 +283,28 @@ def characters(text: Column) -> Column:
 
 def common_prefix_length(a: Column, b: Column) -> Column:
     """Length of the common prefix, without regard to case."""
-    return _common_run(characters(a), characters(b))
+    return _longest_equal(a, b, F.left)
 
 
 def common_suffix_length(a: Column, b: Column) -> Column:
-    return _common_run(F.reverse(characters(a)), F.reverse(characters(b)))
+    return _longest_equal(a, b, F.right)
 
 
-def _common_run(xs: Column, ys: Column) -> Column:
-    same = F.zip_with(xs, ys, lambda x, y: F.coalesce(F.lower(x) == F.lower(y), F.lit(False)))
-    first_difference = F.array_position(same, False)
-    return F.when(first_difference == 0, F.size(xs)).otherwise(first_difference - 1).cast("int")
+def _longest_equal(a: Column, b: Column, end) -> Column:
+    """The largest n for which both ends of n characters agree, by halving."""
+    shorter = F.least(F.length(a), F.length(b))
+
+    def halve(range_: Column, _) -> Column:
+        middle = F.call_function("div", range_["lo"] + range_["hi"] + 1, F.lit(2)).cast("int")
+        same = F.lower(end(a, middle)) == F.lower(end(b, middle))
+        return F.struct(
+            F.when(same, middle).otherwise(range_["lo"]).alias("lo"),
+            F.when(same, range_["hi"]).otherwise(middle - 1).alias("hi"),
+        )
+
+    start = F.struct(F.lit(0).alias("lo"), shorter.alias("hi"))
+    steps = F.sequence(F.lit(1), F.length(F.bin(shorter)))
+    return F.aggregate(steps, start, halve)["lo"]
 
 
 def local_time(ts: Column, zone: str) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -145,23 +146,20 @@ def cooldown(
     that the chain gives.  Ticks come first: one row per channel and tick,
     however many messages there are.
     """
-    chunk_ticks = max(chunk_ticks, ticks)
+    chunk_ticks = max(chunk_ticks, ticks + 1)
     per_tick = df.groupBy(channel, tick_of(F.col(ts)).alias("tick")).agg(F.count(F.lit(1)).alias("n_messages"))
-    chunk = F.call_function("div", F.col("tick"), F.lit(chunk_ticks))
-    base = F.col("chunk") * chunk_ticks
-    chunks = per_tick.groupBy(channel, chunk.alias("chunk")).agg(
-        F.array_sort(F.collect_list(F.struct("tick", "n_messages"))).alias("_ticks")
-    )
-
-    def next_free(free: Column, t: Column) -> Column:
-        return F.when(t["tick"] >= free, t["tick"] + ticks).otherwise(free)
-
-    def way_out(left: Column) -> Column:
-        free = F.aggregate("_ticks", base + left, next_free)
-        return F.greatest(free - (base + chunk_ticks), F.lit(0)).cast("int")
-
-    ways = chunks.select(
-        channel, "chunk", F.transform(F.sequence(F.lit(0), F.lit(ticks)), way_out).alias("ways")
+    per_tick = per_tick.withColumn("chunk", F.call_function("div", F.col("tick"), F.lit(chunk_ticks)))
+
+    def ways_through(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        start = key[1] * chunk_ticks
+        free = start + np.arange(ticks + 1)  # one lock end for each way in
+        for tick in np.sort(pdf["tick"].to_numpy()):
+            free = np.where(tick >= free, tick + ticks, free)
+        left = np.maximum(free - (start + chunk_ticks), 0)
+        return pd.DataFrame({channel: [key[0]], "chunk": [key[1]], "ways": [left]})
+
+    ways = per_tick.select(channel, "chunk", "tick").groupBy(channel, "chunk").applyInPandas(
+        ways_through, f"{channel} bigint, chunk bigint, ways array<bigint>"
     )
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -174,24 +172,33 @@ def cooldown(
             left, last = int(out[left]), number
         return pd.DataFrame({channel: pdf[channel], "chunk": pdf["chunk"], "entry": entries})
 
-    entry = ways.groupBy(channel).applyInPandas(chain, f"{channel} bigint, chunk bigint, entry int")
+    entry = ways.groupBy(channel).applyInPandas(chain, f"{channel} bigint, chunk bigint, entry bigint")
 
-    def replay(state: Column, t: Column) -> Column:
-        free = state["free"]
-        ok = t["tick"] >= free
-        row = F.struct(t["tick"].alias("tick"), t["n_messages"].alias("n_messages"), ok.alias("accepted"))
-        return F.struct(
-            next_free(free, t).alias("free"), F.array_append(state["rows"], row).alias("rows")
-        )
+    def replay(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("tick")
+        free = key[1] * chunk_ticks + int(pdf["entry"].iloc[0])
+        locked_until, accepted = [], []
+        for tick in pdf["tick"]:
+            locked_until.append(free)
+            accepted.append(tick >= free)
+            free = tick + ticks if tick >= free else free
+        out = pdf[[channel, "tick", "n_messages"]]
+        return out.assign(free_tick=locked_until, accepted=accepted)
 
-    start = F.struct(
-        (base + F.col("entry")).alias("free"),
-        F.array().cast("array<struct<tick:bigint,n_messages:bigint,accepted:boolean>>").alias("rows"),
-    )
-    replayed = chunks.join(entry, [channel, "chunk"]).select(
-        channel, F.explode(F.aggregate("_ticks", start, replay)["rows"]).alias("_r")
+    return (
+        per_tick.join(entry, [channel, "chunk"])
+        .groupBy(channel, "chunk")
+        .applyInPandas(
+            replay, f"{channel} bigint, tick bigint, n_messages bigint, free_tick bigint, accepted boolean"
+        )
     )
-    return replayed.select(channel, "_r.tick", "_r.n_messages", "_r.accepted")
+
+
+def release_time(ts: Column, free_tick: Column, max_wait_seconds: int = 45) -> Column:
+    """When a waiting message goes ahead: once the lock ends, or after the longest wait."""
+    lock_end = F.timestamp_millis(free_tick * cfg.TICK_MILLIS)
+    latest = ts + F.make_dt_interval(secs=F.lit(max_wait_seconds))
+    return F.least(F.greatest(ts, lock_end), latest)
 
 
 # --- names ------------------------------------------------------------------------------

@@ -113,35 +113,39 @@ def repeat_policy(
 
 
 def trim_repeated_prefix(reply: Column, previous: Column) -> Column:
-    """Characters that ``trim_repeated_affixes`` may cut off the start."""
+    """Characters that ``with_trimmed_affixes`` may cut off the start."""
     shorter = F.least(F.length(reply), F.length(previous))
     cut = F.least(common_prefix_length(reply, previous), shorter - 1)
     return F.when(shorter > 0, F.greatest(cut, F.lit(0))).otherwise(0)
 
 
-def trim_repeated_affixes(reply: Column, previous: Column) -> Column:
-    """Struct of the cuts at both ends and of the trimmed reply.
+def with_trimmed_affixes(
+    df: DataFrame, reply: str, previous: str, out: str = "trimmed"
+) -> DataFrame:
+    """Add prefix_cut, suffix_cut and the trimmed reply.
 
     A cut at the end is taken from the whole reply, so where it applies it takes
     the place of the cut at the start.
     """
-    n, m = F.length(reply), F.length(previous)
+    text, last = F.col(reply), F.col(previous)
+    n, m = F.length(text), F.length(last)
     shorter = F.least(n, m)
-    prefix = common_prefix_length(reply, previous)
-    cut = F.greatest(F.least(prefix, shorter - 1), F.lit(0))
-    tail = F.greatest(F.least(common_suffix_length(reply, previous), shorter - 1), F.lit(0))
-    checked = F.when(prefix > 0, cut + 1).otherwise(1)
-    by_suffix = (n - tail) > (m - checked)
-    trimmed = (
-        F.when(shorter < 1, reply)
-        .when(by_suffix, F.left(reply, n - tail))
-        .otherwise(F.substring(reply, cut + 1, n))
+    common = df.withColumn("_lcp", common_prefix_length(text, last)).withColumn(
+        "_lcs", common_suffix_length(text, last)
     )
-    return F.struct(
-        F.when(shorter < 1, 0).otherwise(cut).alias("prefix_cut"),
-        F.when(shorter < 1, 0).otherwise(tail).alias("suffix_cut"),
-        trimmed.alias("text"),
+
+    def cut(length: str) -> Column:
+        return F.greatest(F.least(F.col(length), shorter - 1), F.lit(0))
+
+    cuts = common.withColumn("prefix_cut", cut("_lcp")).withColumn("suffix_cut", cut("_lcs"))
+    checked = F.when(F.col("_lcp") > 0, F.col("prefix_cut") + 1).otherwise(1)
+    by_suffix = (n - F.col("suffix_cut")) > (m - checked)
+    trimmed = (
+        F.when(shorter < 1, text)
+        .when(by_suffix, F.left(text, n - F.col("suffix_cut")))
+        .otherwise(F.substring(text, F.col("prefix_cut") + 1, n))
     )
+    return cuts.withColumn(out, trimmed).drop("_lcp", "_lcs")
 
 
 def with_previous_reply(

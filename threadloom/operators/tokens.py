@@ -19,11 +19,6 @@ def clean_reply(text: Column, bot_name: str) -> Column:
     return unescape(remove_end_markers(text, bot_name))
 
 
-def is_finished(text: Column, limit: int, bot_name: str) -> Column:
-    """More than two characters, and an end marker or too many characters."""
-    return (F.length(text) > 2) & (has_end_marker(text, bot_name) | (F.length(text) > limit))
-
-
 def assemble_tokens(
     tokens: DataFrame, header: str, limit: int = 500, bot_name: str = "Bot", block_rows: int = 2048
 ) -> DataFrame:
@@ -89,14 +84,18 @@ def assemble_tokens(
         ).alias("words")
     )
 
+    # A text without an end marker has none at any earlier point either, so most
+    # replies are followed by length alone.
     def listen(acc: Column, token: Column) -> Column:
         text = F.concat(acc["text"], token)
-        done = is_finished(text, limit, bot_name) & (F.length(clean_reply(text, bot_name)) > 0)
+        ended = (F.length(text) > limit) | (F.col("_marked") & has_end_marker(text, bot_name))
+        done = ended & (F.length(text) > 2) & (F.length(clean_reply(text, bot_name)) > 0)
         grown = F.struct(text.alias("text"), done.alias("done"))
         return F.when(acc["done"], acc).otherwise(grown)
 
     silent = F.struct(F.lit("").alias("text"), F.lit(False).alias("done"))
-    heard_all = whole.withColumn("_r", F.aggregate("words", silent, listen))
+    marked = whole.withColumn("_marked", has_end_marker(F.array_join("words", ""), bot_name))
+    heard_all = marked.withColumn("_r", F.aggregate("words", silent, listen))
     reply = F.when(F.col("_r.done"), clean_reply(F.col("_r.text"), bot_name))
     replies = heard_all.select("request_id", reply.alias("reply"))
     requests = tokens.select("request_id").distinct()

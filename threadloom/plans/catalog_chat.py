@@ -535,8 +535,8 @@ def w6(spark, d):
 )
 def w7(spark, d):
     rows = loops.with_previous_reply(messages(spark, d), "conv_id", "turn", "content", BLOCKS)
-    trimmed = rows.select("msg_id", loops.trim_repeated_affixes(F.col("content"), F.col("previous")).alias("t"))
-    return trimmed.select("msg_id", "t.prefix_cut", "t.suffix_cut", "t.text")
+    trimmed = loops.with_trimmed_affixes(rows, "content", "previous", "text")
+    return trimmed.select("msg_id", "prefix_cut", "suffix_cut", "text")
 
 
 @query(
@@ -641,7 +641,7 @@ def u2(spark, d):
 )
 def st3_batch(spark, d):
     events = event_messages(derived.load(spark, d, "events")).withColumn("channel_id", F.col("channel_id") % 3)
-    return gate.cooldown(events, ticks=400, chunk_ticks=4096)
+    return gate.cooldown(events, ticks=400, chunk_ticks=4096).drop("free_tick")
 
 
 _WORDS_SO_FAR = f"""w AS (SELECT msg_id AS request_id, unnest(string_split(content, ' ')) || ' ' AS token,

@@ -80,8 +80,8 @@ def postprocess_reply(
         cleaned, key, pos, "message", line, conf.bot_name, conf.context_lines, conf.block_rows, raw="raw"
     )
     sent = F.col("policy") == "send"
-    trimmed = loops.trim_repeated_affixes(F.col("message"), F.col("previous"))["text"]
-    remembered = F.concat(F.lit(conf.reply_header), trimmed, F.lit("\n"))
+    judged = loops.with_trimmed_affixes(judged, "message", "previous")
+    remembered = F.concat(F.lit(conf.reply_header), "trimmed", F.lit("\n"))
     speaks = sent & (F.length(tx.trim_all(F.col("message"))) > 0)
     return judged.select(
         "*",

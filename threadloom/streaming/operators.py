@@ -140,7 +140,7 @@ def assemble_tokens(
 ) -> DataFrame:
     """Replies from token messages, each emitted when it is finished.
 
-    State is the text since the header (or the end of what came before it).  A
+    State is the text since the header (or the end of what came before it).  With a
     ``ts`` column, a token more than the typing timeout after the first one ends
     the reply however short it is, and a request is given up when the stream has
     moved on by that time without a token for it.
