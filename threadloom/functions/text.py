@@ -177,8 +177,9 @@ def _before(text: Column, pattern: str) -> Column:
 
 def cut_at_end_marker(text: Column, bot_name: str = "Bot") -> Column:
     """Cut a reply at the first end marker, unless it opens the reply."""
-    head = _before(text, cfg.end_marker_pattern(bot_name))
-    return F.when(head != "", head).otherwise(text)
+    pattern = cfg.end_marker_pattern(bot_name)
+    whole = f"(?d)^(?!(?:{pattern}))(?<head>{ANY}+?)(?:{pattern}){ANY}*"
+    return F.regexp_replace(text, whole, "${head}")
 
 
 def first_end_marker(text: Column, bot_name: str = "Bot") -> Column:

@@ -7,7 +7,7 @@ and windows run per (conversation, block):
 * a bounded look-back (the last n rows) gets the last rows of the block before
   as a *halo*: they take part in the window and are dropped afterwards;
 * an unbounded running value (sum, maximum, last value) gets what the blocks
-  before amount to, from a summary of one row per block.
+  before amount to, from a summary of one row per block of the long conversations.
 
 Either way the result is that of the plain window, whatever the block size.
 Positions must be dense (0, 1, 2, ...) within a conversation; where a table has
@@ -66,7 +66,7 @@ def number_rows(
 
 
 def block_of(pos: str, block_rows: int) -> Column:
-    return F.floor(F.col(pos) / block_rows)
+    return F.call_function("div", F.col(pos), F.lit(block_rows))
 
 
 def with_blocks(df: DataFrame, pos: str, block_rows: int) -> DataFrame:
@@ -124,12 +124,16 @@ def running(
     fold = {"sum": F.sum, "max": F.max}[how]
     own_blocks = BLOCK not in df.columns
     marked = with_blocks(df, pos, block_rows).withColumn("_value", value)
-    summary = marked.groupBy(key, BLOCK).agg(fold("_value").alias("_total"))
+    # Only conversations of more than one block have anything to carry.  They are
+    # few, so that the summary is small and joining it needs no shuffle of the rows.
+    long_ones = marked.where(F.col(pos) >= block_rows).select(key).distinct()
+    spanning = marked.select(key, BLOCK, "_value").join(long_ones, key, "left_semi")
+    summary = spanning.groupBy(key, BLOCK).agg(fold("_value").alias("_total"))
     earlier = Window.partitionBy(key).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(key, BLOCK, fold("_total").over(earlier).alias("_carry"))
     end = -1 if before else Window.currentRow
     here = block_window(key, pos).rowsBetween(Window.unboundedPreceding, end)
-    joined = marked.join(carry, [key, BLOCK]).withColumn("_here", fold("_value").over(here))
+    joined = marked.join(carry, [key, BLOCK], "left").withColumn("_here", fold("_value").over(here))
     if how == "sum":
         total = F.coalesce("_carry", F.lit(0)) + F.coalesce("_here", F.lit(0))
     else:

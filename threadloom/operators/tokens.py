@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.jsonio import extract_token
 from threadloom.functions.text import has_end_marker, remove_end_markers, unescape
+from threadloom.operators.ordered import materialize
 
 
 def clean_reply(text: Column, bot_name: str) -> Column:
@@ -27,15 +28,16 @@ def assemble_tokens(
     Tokens up to the one that completes the header are prompt echo.  What comes
     after the finish is discarded.
     """
-    rows = (
-        tokens.select("request_id", "seq", extract_token(F.col("raw")).alias("token"))
-        .where(F.length("token") > 0)
-        .withColumn("block", F.call_function("div", F.col("seq"), F.lit(block_rows)))
+    rows = tokens.select("request_id", "seq", extract_token(F.col("raw")).alias("token")).withColumn(
+        "block", F.call_function("div", F.col("seq"), F.lit(block_rows))
     )
-    joined = rows.groupBy("request_id", "block").agg(
-        F.array_sort(F.collect_list(F.struct("seq", "token"))).alias("tokens")
+    heard_rows = F.collect_list(F.when(F.length("token") > 0, F.struct("seq", "token")))
+    joined = rows.groupBy("request_id", "block").agg(F.array_sort(heard_rows).alias("tokens"))
+    # Three branches read the blocks, each of them other columns.
+    every_block = materialize(
+        joined.withColumn("text", F.array_join(F.transform("tokens", lambda t: t["token"]), ""))
     )
-    blocks = joined.withColumn("text", F.array_join(F.transform("tokens", lambda t: t["token"]), ""))
+    blocks = every_block.where(F.size("tokens") > 0)
     # Enough of the text before each block to find a header that straddles blocks;
     # every block has a character, so this many blocks suffice.
     reach = len(header) - 1
@@ -98,7 +100,7 @@ def assemble_tokens(
     heard_all = marked.withColumn("_r", F.aggregate("words", silent, listen))
     reply = F.when(F.col("_r.done"), clean_reply(F.col("_r.text"), bot_name))
     replies = heard_all.select("request_id", reply.alias("reply"))
-    requests = tokens.select("request_id").distinct()
+    requests = every_block.select("request_id").distinct()
     status = (
         F.when(F.col("reply").isNotNull(), "finished").when(F.col("_heard"), "listening").otherwise("no_header")
     )
