@@ -28,7 +28,7 @@ HALO = "_halo"
 
 def shared_folder(spark) -> str:
     """The folder that ``spark.checkpoint.dir`` names; a scratch one where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     return folder or tempfile.mkdtemp(prefix="threadloom-")
 
 

@@ -87,17 +87,18 @@ def assemble_tokens(
     )
 
     # A text without an end marker has none at any earlier point either, so most
-    # replies are followed by length alone.
+    # replies are followed by length alone.  The flag rides along in the state;
+    # as a column it would be worked out again for every token.
     def listen(acc: Column, token: Column) -> Column:
         text = F.concat(acc["text"], token)
-        ended = (F.length(text) > limit) | (F.col("_marked") & has_end_marker(text, bot_name))
+        ended = (F.length(text) > limit) | (acc["marked"] & has_end_marker(text, bot_name))
         done = ended & (F.length(text) > 2) & (F.length(clean_reply(text, bot_name)) > 0)
-        grown = F.struct(text.alias("text"), done.alias("done"))
+        grown = F.struct(text.alias("text"), done.alias("done"), acc["marked"].alias("marked"))
         return F.when(acc["done"], acc).otherwise(grown)
 
-    silent = F.struct(F.lit("").alias("text"), F.lit(False).alias("done"))
-    marked = whole.withColumn("_marked", has_end_marker(F.array_join("words", ""), bot_name))
-    heard_all = marked.withColumn("_r", F.aggregate("words", silent, listen))
+    marked = has_end_marker(F.array_join("words", ""), bot_name)
+    silent = F.struct(F.lit("").alias("text"), F.lit(False).alias("done"), marked.alias("marked"))
+    heard_all = whole.withColumn("_r", F.aggregate("words", silent, listen))
     reply = F.when(F.col("_r.done"), clean_reply(F.col("_r.text"), bot_name))
     replies = heard_all.select("request_id", reply.alias("reply"))
     requests = every_block.select("request_id").distinct()
