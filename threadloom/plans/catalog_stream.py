@@ -30,9 +30,9 @@ class Scratch:
 
 
 def table_stream(spark, d, name):
-    """A test table as a stream."""
-    path = f"{d}/{name}.parquet"
-    return readers.read_stream(spark, path, spark.read.parquet(path).schema)
+    """A test table, file or folder, as a stream (a stream may read a file by pattern only)."""
+    schema = spark.read.parquet(f"{d}/{name}.parquet").schema
+    return readers.read_stream(spark, f"{d}/{name}.parquet*", schema)
 
 
 def event_stream(spark, d):
