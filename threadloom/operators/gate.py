@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom import config as cfg
@@ -148,49 +146,71 @@ def cooldown(
     """
     chunk_ticks = max(chunk_ticks, ticks + 1)
     per_tick = df.groupBy(channel, tick_of(F.col(ts)).alias("tick")).agg(F.count(F.lit(1)).alias("n_messages"))
-    per_tick = per_tick.withColumn("chunk", F.call_function("div", F.col("tick"), F.lit(chunk_ticks)))
-
-    def ways_through(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        start = key[1] * chunk_ticks
-        free = start + np.arange(ticks + 1)  # one lock end for each way in
-        for tick in np.sort(pdf["tick"].to_numpy()):
-            free = np.where(tick >= free, tick + ticks, free)
-        left = np.maximum(free - (start + chunk_ticks), 0)
-        return pd.DataFrame({channel: [key[0]], "chunk": [key[1]], "ways": [left]})
-
-    ways = per_tick.select(channel, "chunk", "tick").groupBy(channel, "chunk").applyInPandas(
-        ways_through, f"{channel} bigint, chunk bigint, ways array<bigint>"
-    )
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        left, last, entries = 0, None, []
-        for number, out in zip(pdf["chunk"], pdf["ways"]):
-            if last is not None and number != last + 1:
-                left = 0  # a skipped chunk is longer than any lock
-            entries.append(left)
-            left, last = int(out[left]), number
-        return pd.DataFrame({channel: pdf[channel], "chunk": pdf["chunk"], "entry": entries})
-
-    entry = ways.groupBy(channel).applyInPandas(chain, f"{channel} bigint, chunk bigint, entry bigint")
-
-    def replay(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("tick")
-        free = key[1] * chunk_ticks + int(pdf["entry"].iloc[0])
-        locked_until, accepted = [], []
-        for tick in pdf["tick"]:
-            locked_until.append(free)
-            accepted.append(tick >= free)
-            free = tick + ticks if tick >= free else free
-        out = pdf[[channel, "tick", "n_messages"]]
-        return out.assign(free_tick=locked_until, accepted=accepted)
+    chunk = F.call_function("div", F.col("tick"), F.lit(chunk_ticks))
+    chunks = per_tick.groupBy(channel, chunk.alias("chunk")).agg(
+        F.array_sort(F.collect_list(F.struct("tick", "n_messages"))).alias("_ticks")
+    )
+    base = F.col("chunk") * chunk_ticks
 
-    return (
-        per_tick.join(entry, [channel, "chunk"])
-        .groupBy(channel, "chunk")
-        .applyInPandas(
-            replay, f"{channel} bigint, tick bigint, n_messages bigint, free_tick bigint, accepted boolean"
+    def lock(free: Column, tick: Column) -> Column:
+        return F.when(tick >= free, tick + ticks).otherwise(free)
+
+    def way_out(left: Column) -> Column:
+        free = F.aggregate("_ticks", base + left, lambda f, t: lock(f, t["tick"]))
+        return F.greatest(free - (base + chunk_ticks), F.lit(0).cast("bigint"))
+
+    # Channels of a single chunk are always entered unlocked.
+    spans = per_tick.groupBy(channel).agg(F.min(chunk).alias("_lo"), F.max(chunk).alias("_hi"))
+    long_ones = spans.where("_lo < _hi").select(channel)
+    ways = chunks.join(long_ones, channel, "left_semi").select(
+        channel, "chunk", F.transform(F.sequence(F.lit(0), F.lit(ticks)), way_out).alias("ways")
+    )
+
+    def link(state: Column, c: Column) -> Column:
+        # A skipped chunk is longer than any lock.
+        left = F.when(c["chunk"] == state["next"], state["left"]).otherwise(F.lit(0).cast("bigint"))
+        entry = F.struct(c["chunk"].alias("chunk"), left.alias("entry"))
+        return F.struct(
+            (c["chunk"] + 1).alias("next"),
+            F.get(c["ways"], left.cast("int")).alias("left"),
+            F.array_append(state["entries"], entry).alias("entries"),
         )
+
+    start = F.struct(
+        F.lit(-1).cast("bigint").alias("next"),
+        F.lit(0).cast("bigint").alias("left"),
+        F.array().cast("array<struct<chunk:bigint,entry:bigint>>").alias("entries"),
+    )
+    in_order = F.array_sort(F.collect_list(F.struct("chunk", "ways")))
+    chained = ways.groupBy(channel).agg(in_order.alias("_chunks")).select(
+        channel, F.explode(F.aggregate("_chunks", start, link)["entries"]).alias("_e")
+    )
+    entry = chained.select(channel, "_e.chunk", "_e.entry")
+
+    def accept(state: Column, t: Column) -> Column:
+        ok = t["tick"] >= state["free"]
+        return F.struct(
+            lock(state["free"], t["tick"]).alias("free"), F.array_append(state["ok"], ok).alias("ok")
+        )
+
+    entered = chunks.join(entry, [channel, "chunk"], "left").withColumn(
+        "_free", base + F.coalesce("entry", F.lit(0))
+    )
+    fresh = F.struct(F.col("_free").alias("free"), F.array().cast("array<boolean>").alias("ok"))
+    verdicts = F.aggregate("_ticks", fresh, accept)["ok"]
+    pairs = F.zip_with(
+        "_ticks",
+        verdicts,
+        lambda t, ok: F.struct(t["tick"].alias("tick"), t["n_messages"].alias("n_messages"), ok.alias("accepted")),
+    )
+    rows = entered.select(channel, "chunk", "_free", F.explode(pairs).alias("_r")).select(
+        channel, "chunk", "_free", "_r.*"
+    )
+    earlier = Window.partitionBy(channel, "chunk").orderBy("tick").rowsBetween(Window.unboundedPreceding, -1)
+    last_taken = F.max(F.when(F.col("accepted"), F.col("tick"))).over(earlier)
+    free_tick = F.coalesce(last_taken + ticks, F.col("_free"))
+    return rows.withColumn("free_tick", free_tick).select(
+        channel, "tick", "n_messages", "free_tick", "accepted"
     )
 
 

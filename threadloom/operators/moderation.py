@@ -18,20 +18,38 @@ from threadloom.functions.text import edit_threshold, normalize_token, trim_all
 # --- inside the row -----------------------------------------------------------
 
 
-def fuzzy_matches(text: Column, words: Iterable[str]) -> Column:
-    """Array of (pos, token, word): every token near every banned word, in order."""
-    listed = F.array(*[F.lit(w.lower()) for w in words if w])
-    tokens = F.transform(
-        F.split(text, " "),
-        lambda t, i: F.struct(i.alias("pos"), t.alias("token"), normalize_token(t).alias("clean")),
+def _matchable_lengths(words: Iterable[str]) -> list[int]:
+    """Lengths that a cleaned token can have to be near any of the words."""
+    reach = {w: range(max(len(w) - 2, 3), len(w) + 3) for w in words}
+    return sorted(
+        {
+            n
+            for w, lengths in reach.items()
+            for n in lengths
+            if abs(n - len(w)) <= (2 if n > 6 else 1 if n > 4 else 0)
+        }
     )
-    checked = F.filter(tokens, lambda t: F.length(t["clean"]) > 2)
+
+
+def fuzzy_matches(text: Column, words: Iterable[str]) -> Column:
+    """Array of (pos, token, word): every token near every banned word, in order.
+
+    The whole text is cleaned at once: blanks stay, so the cleaned tokens keep
+    their places.  A check of the length passes over most of them.
+    """
+    lowered = [w.lower() for w in words if w]
+    listed = F.array(*[F.lit(w) for w in lowered])
+    cleaned = F.split(F.regexp_replace(F.lower(text), "[^a-z0-9 ]+", ""), " ")
+    tokens = F.transform(cleaned, lambda c, i: F.struct(i.alias("pos"), c.alias("clean")))
+    lengths = _matchable_lengths(lowered)
+    checked = F.filter(tokens, lambda t: F.length(t["clean"]).isin(lengths))
 
     def near(t: Column) -> Column:
         threshold = edit_threshold(t["clean"])
+        token = F.get(F.split(text, " "), t["pos"])
         return F.transform(
             F.filter(listed, lambda w: is_within(t["clean"], w, threshold)),
-            lambda w: F.struct(t["pos"].alias("pos"), t["token"].alias("token"), w.alias("word")),
+            lambda w: F.struct(t["pos"].alias("pos"), token.alias("token"), w.alias("word")),
         )
 
     return F.flatten(F.transform(checked, near))

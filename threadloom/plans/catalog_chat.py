@@ -635,13 +635,13 @@ def u2(spark, d):
       FROM events GROUP BY 1, 2),
     a AS (SELECT channel_id, min(tick) AS tick FROM t GROUP BY channel_id
       UNION ALL SELECT * FROM (SELECT a.channel_id, (SELECT min(t.tick) FROM t WHERE t.channel_id = a.channel_id
-        AND t.tick >= a.tick + 400) AS tick FROM a) WHERE tick IS NOT NULL)
+        AND t.tick >= a.tick + 40) AS tick FROM a) WHERE tick IS NOT NULL)
     SELECT t.channel_id, t.tick, t.n_messages, a.tick IS NOT NULL AS accepted
     FROM t LEFT JOIN a ON a.channel_id = t.channel_id AND a.tick = t.tick""",
 )
 def st3_batch(spark, d):
     events = event_messages(derived.load(spark, d, "events")).withColumn("channel_id", F.col("channel_id") % 3)
-    return gate.cooldown(events, ticks=400, chunk_ticks=4096).drop("free_tick")
+    return gate.cooldown(events, ticks=40, chunk_ticks=4096).drop("free_tick")
 
 
 _WORDS_SO_FAR = f"""w AS (SELECT msg_id AS request_id, unnest(string_split(content, ' ')) || ' ' AS token,

@@ -109,7 +109,7 @@ def st2(spark, d):
       GROUP BY 1, 2),
     a AS (SELECT channel_id, min(tick) AS tick FROM t GROUP BY channel_id
       UNION ALL SELECT * FROM (SELECT a.channel_id, (SELECT min(t.tick) FROM t WHERE t.channel_id = a.channel_id
-        AND t.tick >= a.tick + 400) AS tick FROM a) WHERE tick IS NOT NULL)
+        AND t.tick >= a.tick + 40) AS tick FROM a) WHERE tick IS NOT NULL)
     SELECT t.channel_id, t.tick, a.tick IS NOT NULL AS accepted
     FROM t LEFT JOIN a ON a.channel_id = t.channel_id AND a.tick = t.tick""",
 )
@@ -117,7 +117,7 @@ def st3(spark, d):
     run = Scratch(spark)
     events = event_stream(spark, d).withColumn("channel_id", F.col("channel_id") % 3)
     ticks = tick_table(spark, events, run).select("channel_id", gate.tick_of(F.col("tick_start")).alias("tick"))
-    return runs.to_table(st.cooldown(ticks, 400), run.out, run.checkpoint)
+    return runs.to_table(st.cooldown(ticks, 40), run.out, run.checkpoint)
 
 
 @query(
