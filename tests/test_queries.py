@@ -4,10 +4,11 @@ import pytest
 from compare import compare, oracle_connection
 
 import __spark_entry__ as e
+from threadloom.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
 # Window functions and joins of these run before the query's own frame is planned.
-QUERIES, ORACLES = e.queries(), e.oracle_sql()
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -25,6 +26,11 @@ def test_every_query_has_a_twin():
     assert set(QUERIES) == set(ORACLES)
 
 
+def test_entry_has_all_queries():
+    assert set(QUERIES) <= set(e.queries())
+    assert set(ORACLES) <= set(e.oracle_sql())
+
+
 def test_entry(spark):
     assert e.entry(spark).count() > 0
 
