@@ -46,16 +46,17 @@ def source_targets(
         .withColumn("_limit", F.col("source_size") * F.lit(most_times))
         .withColumn("_ratio", F.col("_limit") / F.col("_weight"))
     )
-    # Level if this source and all of a larger ratio stay below their limits.
+    # Level if just the sources before stop at their limits.  While one too few does
+    # it rises with the next, and falls from then on: the largest is the true one.
     before = by_limit.rowsBetween(Window.unboundedPreceding, -1)
     onwards = by_limit.rowsBetween(0, Window.unboundedFollowing)
     everything = Window.partitionBy()
     total = F.sum("source_size").over(everything) * F.lit(share)
     levels = limited.withColumn(
         "_level", (total - F.coalesce(F.sum("_limit").over(before), F.lit(0.0))) / F.sum("_weight").over(onwards)
-    ).withColumn("_open", F.when(F.col("_level") <= F.col("_ratio"), F.col("_level")))
-    level = F.min("_open").over(everything)
-    target = F.coalesce(F.least(F.col("_limit"), F.col("_weight") * level), F.col("_limit"))
+    )
+    level = F.max("_level").over(everything)
+    target = F.least(F.col("_limit"), F.col("_weight") * level)
     return levels.select("_key", "source_size", target.cast("double").alias("target"))
 
 

@@ -138,8 +138,8 @@ m_levels AS (
       - coalesce(sum(lim) OVER (ORDER BY lim / wt, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
       / sum(wt) OVER (ORDER BY lim / wt, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev
   FROM m_limits),
-m_level AS (SELECT min(lev) AS lev FROM m_levels WHERE lev <= lim / wt),
-m_targets AS (SELECT k, source_size, coalesce(least(lim, wt * (SELECT lev FROM m_level)), lim)::DOUBLE AS target FROM m_levels),
+m_level AS (SELECT max(lev) AS lev FROM m_levels),
+m_targets AS (SELECT k, source_size, least(lim, wt * (SELECT lev FROM m_level))::DOUBLE AS target FROM m_levels),
 m_rates AS (
   SELECT s.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate
   FROM m_sizes s JOIN m_targets t USING (k)),
