@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import oracles
+from threadloom.llm import oracles, pii
 from threadloom.llm.common import read
 from threadloom.llm.decontaminate import benchmark_overlaps
 from threadloom.llm.licenses import license_scan
@@ -67,6 +67,18 @@ def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    found = pii.find_pii(docs, pii.fit(docs))
+    of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select(
+        "doc_id",
+        *map(of_kind, ("email", "ip", "card", "phone")),
+        F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"),
+        pii.joined(F.col("pii")).alias("spans"),
+    )
+
+
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     clean = line_dedup(read(spark, folder, "documents").select("doc_id", "text"))
     return clean.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -88,6 +100,7 @@ _ALL = (
     op4_url_filters,
     op5_decontamination,
     op6_license_scan,
+    op7_pii,
     op8_line_dedup,
     op9_source_mixing,
     op10_substring_dedup,
