@@ -182,9 +182,8 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", perc
     Documents whose sets of 5-word shingles have ``percent`` of their union in common
     are linked; component_id is the smallest id that links reach, kept says whether
     that is the document's own.  Without words or text the set is empty and linked
-    with nothing.  Rows of one id count as copies of each other if their texts are
-    alike, else the id is in both places; a row without an id has no component and
-    is kept.
+    with nothing.  Ids tell documents apart: of one id's different texts the
+    least is looked at for links.  A row without an id has no component and is kept.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
@@ -197,38 +196,46 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", perc
     classes = known.groupBy("_set", "n_shingles").agg(
         F.min(F.struct("doc_id", "_bands", "_sketch")).alias("_rep")
     )
-    members = (
-        classes.select(F.col("_rep.doc_id").alias("_id"), F.col("n_shingles").alias("_n"), F.col("_rep._sketch").alias("_sketch"), F.explode("_rep._bands").alias("band"))
+    members = classes.select(F.col("_rep.doc_id").alias("_id"), F.explode("_rep._bands").alias("band"))
+    shared_bands = members.groupBy("band").agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > 1).select("band")
+    crowded = shared_table(members.join(shared_bands, "band"), "candidates")
+    # Sketches and texts of candidates only; neither travels with the bands.
+    of_reps = classes.select(F.col("_rep.doc_id").alias("doc_id"), F.col("n_shingles").alias("_n"), F.col("_rep._sketch").alias("_sketch"))
+    wanted = of_reps.join(crowded.select(F.col("_id").alias("doc_id")).distinct(), "doc_id")
+    some = shared_table(
+        source.join(wanted, "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "_n", "_sketch")).alias("_c")).select("doc_id", "_c.*"),
+        "candidate-texts",
     )
+    sketch = lambda x: some.select(F.col("doc_id").alias(x), F.col("_n").alias(f"{x}_n"), F.col("_sketch").alias(f"{x}_sketch"))
     # A few pivots of each bucket: the smallest id of each share of it.
-    one = F.struct("_id", "_n", "_sketch")
     share = F.pmod(F.xxhash64("_id"), F.lit(PIVOTS))
-    buckets = members.groupBy("band").agg(
-        F.count(F.lit(1)).alias("_size"), *[F.min(F.when(share == i, one)).alias(f"_p{i}") for i in range(PIVOTS)]
-    ).where(F.col("_size") > 1)
-    crowded = shared_table(
-        members.join(buckets.select("band", F.array_compact(F.array(*[f"_p{i}" for i in range(PIVOTS)])).alias("_pivots")), "band"),
-        "candidates",
+    pivots = crowded.groupBy("band").agg(
+        F.array_compact(F.array(*[F.min(F.when(share == i, F.col("_id"))) for i in range(PIVOTS)])).alias("_pivots")
     )
-    some = shared_table(source.join(crowded.select(F.col("_id").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]), "candidate-texts")
-    b_side = [F.col("_id").alias("b"), F.col("_n").alias("b_n"), F.col("_sketch").alias("b_sketch")]
     near_pivots = (
-        crowded.select(*b_side, F.explode("_pivots").alias("_p"))
-        .select("*", F.col("_p._id").alias("a"), F.col("_p._n").alias("a_n"), F.col("_p._sketch").alias("a_sketch"))
-        .where((F.col("a") != F.col("b")) & look_alike("a", "b", percent))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        crowded.join(pivots, "band")
+        .select(F.col("_id"), F.explode("_pivots").alias("_pivot"))
+        .where(F.col("_id") != F.col("_pivot"))
+        .select(F.least("_id", "_pivot").alias("a"), F.greatest("_id", "_pivot").alias("b"))
         .distinct()
     )
+    near_pivots = shared_table(
+        near_pivots.join(sketch("b"), "b").join(sketch("a"), "a").where(look_alike("a", "b", percent)).select("a", "b"), "pivot-pairs"
+    )
     links = shared_table(confirmed(near_pivots, some, percent), "links")
     roots = components(links)
     # What is still apart inside a bucket.
-    placed = crowded.drop("_pivots").join(roots, F.col("_id") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "_id")).drop("node", "root")
+    placed = (
+        crowded.join(roots, F.col("_id") == F.col("node"), "left")
+        .withColumn("_root", F.coalesce("root", "_id"))
+        .drop("node", "root")
+    )
     split = placed.groupBy("band").agg(F.min("_root").alias("_least"), F.max("_root").alias("_most")).where("_least < _most").select("band")
-    apart = shared_table(placed.join(split, "band"), "apart")
-    b = apart.select("band", *b_side, F.col("_root").alias("b_root"))
-    a = apart.select("band", F.col("_id").alias("a"), F.col("_n").alias("a_n"), F.col("_sketch").alias("a_sketch"), F.col("_root").alias("a_root"))
+    apart = placed.join(split, "band")
+    side = lambda x: apart.select("band", F.col("_id").alias(x), F.col("_root").alias(f"{x}_root")).join(sketch(x), x)
     others = (
-        a.join(b, "band")
+        side("a")
+        .join(side("b"), "band")
         .where((F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & look_alike("a", "b", percent))
         .select("a", "b")
         .distinct()
