@@ -97,12 +97,16 @@ def benchmark_overlaps(
         F.collect_list(F.struct("item", "_item", "_diagonal")).alias("_hits")
     )
     looked_at = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("_text")).join(per_doc, "doc").select(
-        "doc", word_hashes(F.col("_text")).alias("_doc"), F.explode("_hits").alias("_hit")
+        "doc", "_text", F.explode("_hits").alias("_hit")
     )
     scored = looked_at.select(
         F.col("doc").alias(doc_id),
         F.col("_hit.item").alias(item_id),
-        best_stretch(F.col("_doc"), F.col("_hit._item"), F.col("_hit._diagonal"))["best"].alias("score"),
+        # Bound once: a plain column of hashes would be worked out again for each step.
+        let(
+            F.struct(word_hashes(F.col("_text")).alias("doc"), F.col("_hit._item").alias("item")),
+            lambda x: let(x["doc"], lambda doc: let(x["item"], lambda item: best_stretch(doc, item, F.col("_hit._diagonal"))["best"])),
+        ).alias("score"),
         F.size("_hit._item").alias("item_words"),
     ).where(F.col("score") >= F.least(F.lit(least_score), F.col("item_words")))
     best = F.max(F.struct("score", "item_words"))
