@@ -19,10 +19,15 @@ def near_line(reply, lines):
     return None
 
 
-def replay(replies, lines, lookback):
+def memory(lines, i, budget):
+    """Lines of the last characters of the transcript before line i."""
+    return "".join(x + "\n" for x in lines[:i])[-budget:].split("\n")
+
+
+def replay(replies, lines, budget):
     last, loops_seen, out = "<noinput>", 0, []
     for i, reply in enumerate(replies):
-        hit = near_line(reply, lines[max(0, i - lookback) : i])
+        hit = near_line(reply, memory(lines, i, budget))
         if reply == last:
             if loops_seen < 2:
                 loops_seen += 1
@@ -50,10 +55,18 @@ def test_replay(spark):
     rows = [(k, i, r, line) for k, (rs, ls) in groups.items() for i, (r, line) in enumerate(zip(rs, ls))]
     df = spark.createDataFrame(rows, "k bigint, pos bigint, reply string, line string").repartition(4)
     for block in (4, 1000):
-        near = loops.near_duplicate_reply(df, "k", "pos", "reply", "line", 3, block).collect()
+        near = loops.near_duplicate_reply(df, "k", "pos", "reply", "line", 60, block).collect()
         for r in near:
-            assert r.near_line == near_line(r.reply, groups[r.k][1][max(0, r.pos - 3) : r.pos]), r
-        judged = loops.judge_replies(df, "k", "pos", "reply", "line", "Bot", 3, block).collect()
+            assert r.near_line == near_line(r.reply, memory(groups[r.k][1], r.pos, 60)), r
+        judged = loops.judge_replies(df, "k", "pos", "reply", "line", "Bot", 60, block).collect()
         for key, (replies, lines) in groups.items():
             got = [r.policy for r in sorted(judged, key=lambda r: r.pos) if r.k == key]
-            assert got == replay(replies, lines, 3)
+            assert got == replay(replies, lines, 60)
+
+
+def test_repeat_twelve_turns_back(spark):
+    """The memory is measured in characters: short lines reach further back than nine turns."""
+    said = ["tell me a story about the sea"] + [f"line {i}" for i in range(11)] + ["tell me a story about the sea"]
+    df = spark.createDataFrame([(1, i, t, t) for i, t in enumerate(said)], "k bigint, pos bigint, reply string, line string")
+    got = {r.pos: r.near_line for r in loops.near_duplicate_reply(df, "k", "pos", "reply", "line").collect()}
+    assert got[12] == said[0]

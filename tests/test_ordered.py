@@ -98,3 +98,16 @@ def test_exact_repeat_and_policy(spark):
     got = {(r.k, r.pos): r.policy for r in out.collect()}
     assert [got[1, i] for i in range(6)] == [None, "retry", "retry", "give_up", "retry", "retry"]
     assert [got[2, i] for i in range(3)] == ["retry", None, None]
+
+
+def test_tail_and_edges_of_a_long_conversation(spark):
+    said = [f"line {i}" for i in range(3000)]
+    rows = [(1, i, t) for i, t in enumerate(said)] + [(2, 5, "one"), (2, 2_007, "two"), (3, 0, "only")]
+    df = spark.createDataFrame(rows, "k bigint, pos bigint, line string")
+    segments = transcript.build_transcript(df, "k", "pos", "line", 1000)
+    got = {(r.k, r.segment): r.tail for r in transcript.with_tail(segments, "k", "transcript", 12_000).collect()}
+    assert got[1, 2] == ("\n".join(said) + "\n")[-12_000:] and got[1, 0] is got[1, 1] is None
+    assert got[2, 2] == "one\ntwo\n" and got[3, 0] == "only\n"
+    kept = transcript.without_edges(df, "k", "pos", "line", first=2, last=1).orderBy("k", "segment").collect()
+    assert "\n".join(r.transcript for r in kept if r.k == 1) == "\n".join(said[2:-1])
+    assert [r.transcript for r in kept if r.k > 1] == [None, None, None]

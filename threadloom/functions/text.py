@@ -113,7 +113,7 @@ def _utf16(hex_digits: Column) -> Column:
 
 
 def _unescape_piece(piece: Column) -> Column:
-    rest = F.substring(piece, 2, 1_000_000)
+    rest = F.substring(piece, F.lit(2), F.length(piece))
     out = F.when(~piece.startswith("\\"), piece)
     for letter, value in _LETTER_ESCAPES.items():
         out = out.when(piece == "\\" + letter, value)

@@ -86,12 +86,13 @@ def tick_of(ts: Column) -> Column:
     return F.call_function("div", F.unix_millis(ts), F.lit(cfg.TICK_MILLIS))
 
 
-def latest_per_tick(df: DataFrame, width: str = TICK) -> DataFrame:
+def latest_per_tick(df: DataFrame, width: str = TICK, more: tuple[str, ...] = ()) -> DataFrame:
     """The newest message of each channel and tick, and how many it stands for.
 
-    Partial aggregation leaves one row per channel, tick and task to shuffle.
+    Other columns named in ``more`` come along.  Partial aggregation leaves one row
+    per channel, tick and task to shuffle.
     """
-    newest = F.max_by(F.struct("msg_id", "content"), F.struct("ts", "msg_id"))
+    newest = F.max_by(F.struct("msg_id", "content", *more), F.struct("ts", "msg_id"))
     return (
         df.groupBy("channel_id", F.window("ts", width).alias("_w"))
         .agg(newest.alias("_m"), F.count(F.lit(1)).alias("n_messages"))
@@ -101,6 +102,7 @@ def latest_per_tick(df: DataFrame, width: str = TICK) -> DataFrame:
             F.col("_m.msg_id").alias("msg_id"),
             F.col("_m.content").alias("content"),
             "n_messages",
+            *[F.col(f"_m.{c}").alias(c) for c in more],
         )
     )
 

@@ -14,6 +14,7 @@ from threadloom.functions.text import (
     trim_all,
 )
 from threadloom.operators.ordered import BLOCK, last_value, look_back, materialize, running, with_blocks
+from threadloom.operators.transcript import memory_before
 
 NO_REPLY = "<noinput>"
 
@@ -33,11 +34,14 @@ def near_duplicate_reply(
     pos: str,
     reply: str,
     line: str,
-    lookback: int = 9,
+    budget: int = 500,
     block_rows: int = 100_000,
     out: str = "near_line",
 ) -> DataFrame:
-    """Add the first of the last ``lookback`` transcript lines that a reply nearly repeats.
+    """Add the first line of the memory that a reply nearly repeats.
+
+    The memory is the last ``budget`` characters of the transcript before the reply,
+    cut mid-line, split into lines; a line with a note under it counts as two.
 
     Near means: without white space, a weighted distance below a third of the
     reply's length.  Length gap and plain distance settle nearly all pairs
@@ -45,10 +49,8 @@ def near_duplicate_reply(
     Null when no line is near.
     """
 
-    def earlier(window):
-        return F.collect_list(F.coalesce(line, F.lit(""))).over(window.rowsBetween(-lookback, -1))
-
-    seen = look_back(df, key, pos, {"_seen": earlier}, lookback, block_rows)
+    memory = memory_before(df.withColumn("_said", F.coalesce(line, F.lit(""))), key, pos, "_said", budget, block_rows, "_memory")
+    seen = memory.withColumn("_seen", F.split("_memory", "\n")).drop("_said", "_memory")
     bare = strip_whitespace(F.col(reply))
     limit = F.call_function("div", F.length(reply), F.lit(3)).cast("int")
     measured = seen.withColumn("_bare", bare).withColumn("_limit", limit)
@@ -166,7 +168,7 @@ def judge_replies(
     reply: str,
     line: str,
     bot_name: str,
-    lookback: int = 9,
+    budget: int = 500,
     block_rows: int = 100_000,
     raw: str | None = None,
 ) -> DataFrame:
@@ -176,7 +178,7 @@ def judge_replies(
     not sent, a blank one leaves nothing to repeat; both are passed over, however
     many come in a row.  An exact repeat goes before a near one.
     """
-    near = materialize(near_duplicate_reply(df, key, pos, reply, line, lookback, block_rows))
+    near = materialize(near_duplicate_reply(df, key, pos, reply, line, budget, block_rows))
     near = with_blocks(near, pos, block_rows)
     is_sent = F.col("near_line").isNull() & (F.length(trim_all(F.col(reply))) > 0)
     sent = F.when(is_sent, F.col(reply))

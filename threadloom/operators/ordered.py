@@ -16,7 +16,6 @@ none, ``number_rows`` makes them under the same rule.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,9 +26,13 @@ HALO = "_halo"
 
 
 def shared_folder(spark) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a scratch one where it is unset."""
+    """A folder that driver and executors share.
+
+    The one that ``spark.checkpoint.dir`` names; where that is unset, one beside the
+    tables of the warehouse.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return folder or tempfile.mkdtemp(prefix="threadloom-")
+    return folder or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
 
 
 def materialize(df: DataFrame) -> DataFrame:

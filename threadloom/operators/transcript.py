@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.operators.ordered import BLOCK, block_of, block_window, drop_halo, look_back, with_halo
+from threadloom.operators.ordered import BLOCK, block_of, block_window, drop_halo, look_back, number_rows, with_halo
 
 
 def build_transcript(
@@ -41,14 +41,50 @@ def recent_text(lines: Column) -> Column:
     return F.concat(F.array_join(lines, "\n"), F.lit("\n"))
 
 
-def _within_budget(df: DataFrame, key: str, pos: str, line: str, budget: int, block_rows: int) -> DataFrame:
+def without_edges(
+    df: DataFrame, key: str, pos: str, line: str, first: int = 0, last: int = 0, segment_rows: int = 1_000, out: str = "transcript"
+) -> DataFrame:
+    """Segments of the transcript without the first and last lines of the conversation.
+
+    Lines are numbered per conversation, whatever the gaps in ``pos``; a segment of
+    which nothing is left has a null text.
+    """
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_total"))
+    numbered = number_rows(df.select(key, pos, line), key, [pos], block_of(pos, segment_rows), "_no").join(counts, key)
+    inside = (F.col("_no") >= first) & (F.col("_no") < F.col("_total") - last)
+    kept = F.array_sort(F.collect_list(F.when(inside, F.struct(F.col("_no").alias("pos"), F.col(line).alias("line")))))
+    text = F.array_join(F.transform(kept, lambda x: x["line"]), "\n")
+    return numbered.groupBy(key, block_of(pos, segment_rows).alias("segment")).agg(F.when(F.count_if(inside) > 0, text).alias(out))
+
+
+def with_tail(segments: DataFrame, key: str, text: str, budget: int = 500, out: str = "tail") -> DataFrame:
+    """Add, on the last segment of each conversation, the last ``budget`` characters of all of it.
+
+    Only lengths and endings of the segments meet; the texts stay where they are.
+    """
+    ends = segments.select(
+        key, "segment", F.length(text).alias("_n"), F.right(F.concat(text, F.lit("\n")), F.lit(budget)).alias("_end")
+    )
+    later = Window.partitionBy(key).orderBy(F.desc("segment")).rowsBetween(Window.unboundedPreceding, -1)
+    needed = ends.withColumn("_after", F.coalesce(F.sum(F.col("_n") + 1).over(later), F.lit(0))).where(F.col("_after") < budget)
+    pieces = F.array_sort(F.collect_list(F.struct("segment", "_end")))
+    tails = needed.groupBy(key).agg(
+        F.max("segment").alias("segment"),
+        F.right(F.array_join(F.transform(pieces, lambda x: x["_end"]), ""), F.lit(budget)).alias(out),
+    )
+    return segments.join(tails, [key, "segment"], "left")
+
+
+def _within_budget(
+    df: DataFrame, key: str, pos: str, line: str, budget: int, block_rows: int, halo: int = 0
+) -> DataFrame:
     """Collect, per message, the lines of which any character is among the last ``budget``.
 
     Every line takes at least its line feed, so ``budget`` rows of halo suffice.
     A running length turns "the last n characters" into a range frame, which
     holds just the lines needed, however long the conversation is.
     """
-    rows = with_halo(df, pos, budget, block_rows)
+    rows = with_halo(df, pos, max(budget, halo), block_rows)
     window = block_window(key, pos)
     so_far = F.sum(F.length(line) + 1).over(window.rowsBetween(Window.unboundedPreceding, 0))
     measured = rows.withColumn("_end", so_far.cast("bigint"))
@@ -66,6 +102,17 @@ def char_budget_suffix(
     return drop_halo(lines.withColumn(out, text).drop("_lines", "_end"))
 
 
+def memory_before(
+    df: DataFrame, key: str, pos: str, line: str, budget: int = 500, block_rows: int = 100_000,
+    out: str = "memory",
+) -> DataFrame:
+    """Add the last ``budget`` characters of the transcript before each message, cut mid-line."""
+    lines = _within_budget(df, key, pos, line, budget, block_rows, budget + 1)
+    text = F.right(F.concat(F.array_join("_lines", "\n"), F.lit("\n")), F.lit(budget))
+    with_text = lines.withColumn("_text", text).withColumn(out, F.lag("_text", 1, "").over(block_window(key, pos)))
+    return drop_halo(with_text.drop("_lines", "_end", "_text"))
+
+
 def char_budget_lines(
     df: DataFrame, key: str, pos: str, line: str, budget: int = 500, block_rows: int = 100_000,
     out: str = "lines",
@@ -89,8 +136,3 @@ def transcript_minus_lines(
 ) -> DataFrame:
     """Line rows without those equal to a removed line of the same conversation."""
     return lines.join(removed.select(key, line).distinct(), [key, line], "left_anti")
-
-
-def transcript_minus_text(transcript: Column, removed: Column) -> Column:
-    """Rendered transcript without any occurrence of a text."""
-    return F.replace(transcript, removed, F.lit(""))

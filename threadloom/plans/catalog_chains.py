@@ -27,8 +27,10 @@ _CONV_LINE = o.exact(f"'[' || {o.nz('role')} || ']: ' || {o.trim(o.spoof('replac
     "moderated_transcript",
     f"""WITH l AS (SELECT conv_id, turn, {_CONV_LINE} AS line FROM conversations),
     t AS (SELECT conv_id, turn // 1000 AS segment, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY turn)
-      AS transcript FROM l GROUP BY ALL)
-    SELECT *, right(transcript || chr(10), 500) AS tail FROM t""",
+      AS transcript FROM l GROUP BY ALL),
+    w AS (SELECT conv_id, max(turn // 1000) AS segment, right(string_agg(line, chr(10) ORDER BY turn) || chr(10), 500) AS tail
+      FROM l GROUP BY conv_id)
+    SELECT t.*, w.tail FROM t LEFT JOIN w USING (conv_id, segment)""",
 )
 def flagship(spark, d):
     return chains.moderated_transcript(derived.load(spark, d, "conversations"), TEST)
@@ -90,9 +92,10 @@ c AS (SELECT *, {sub(o.cut('raw'), cfg.TONE_TAG_PATTERN, '', '')} AS message FRO
 def _near(reply: str) -> str:
     """CTE chain: the first earlier line that the reply column nearly repeats."""
     bare = chat._BARE
-    return f"""s AS (SELECT x.conv_id, x.turn, y.turn AS line_turn, y.line, {bare.format('x.' + reply)} AS a,
+    return f"""{chat.memory('c')},
+s AS (SELECT x.conv_id, x.turn, y.line_no AS line_turn, y.line, {bare.format('x.' + reply)} AS a,
     {bare.format('y.line')} AS b, length(x.{reply}) // 3 AS lim
-  FROM c x JOIN c y ON x.conv_id = y.conv_id AND y.turn BETWEEN x.turn - 9 AND x.turn - 1 AND y.line <> ''),
+  FROM c x JOIN mem y ON x.conv_id = y.conv_id AND x.turn = y.turn AND y.line <> ''),
 g AS (SELECT *, CASE WHEN a = '' OR b = '' THEN 0 WHEN abs(length(a) - length(b)) >= lim THEN NULL
     ELSE levenshtein({chat._PLAIN.format('a')}, {chat._PLAIN.format('b')}) END AS plain FROM s),
 v AS (SELECT *, CASE WHEN plain IS NULL OR plain >= lim THEN FALSE WHEN plain * 2 < lim THEN TRUE
@@ -170,18 +173,18 @@ def p6_replies(spark, d):
 _TICKS = f"""{M}, f AS (SELECT *, coalesce(mention_id = {TEST.bot_id}, FALSE) AND length(content) > 22 AS direct
     FROM m WHERE author_id <> {TEST.bot_id} AND NOT is_bot),
   k AS (SELECT channel_id, ts_s * 1000 // 5500 AS tick, arg_max(msg_id, (ts_s, msg_id)) AS msg_id FROM f
-    WHERE NOT direct GROUP BY 1, 2)"""
+    GROUP BY 1, 2)"""
 
 
 @query(
     "p6_reply_gate",
     f"""WITH {_TICKS} SELECT channel_id, msg_id, 'direct_mention' AS reason FROM f WHERE direct
-    UNION ALL SELECT k.channel_id, k.msg_id, 'verdict' FROM k JOIN m USING (msg_id)
-    WHERE contains(lower(split_part(m.content, ' ', 1)), 'e')""".replace("'e')", "'y')"),
+    UNION ALL SELECT k.channel_id, k.msg_id, 'verdict' FROM k JOIN f USING (msg_id)
+    WHERE NOT direct AND contains(lower(f.content), 'y')""",
 )
 def p6_gate(spark, d):
     m = messages(spark, d)
-    verdicts = m.select("msg_id", F.split_part("content", F.lit(" "), F.lit(1)).alias("answer"))
+    verdicts = m.select("msg_id", F.col("content").alias("answer"))
     return chains.reply_gate(m, verdicts, TEST)
 
 

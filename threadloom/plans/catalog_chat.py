@@ -342,9 +342,18 @@ def j4_documents(spark, d):
 # Bytes in place of accented letters, so that the byte-wise distance is the right one.
 _PLAIN = f"translate({{}}, {lit(o.ACCENTED)}, {' || '.join(f'chr({i})' for i in range(1, 9))} || {' || '.join(f'chr({i})' for i in range(14, 14 + len(o.ACCENTED) - 8))})"
 _BARE = o.sub("{}", r"\s+")
-_NEAR = f"""{L}, s AS (SELECT x.conv_id, x.turn, x.content AS reply, y.turn AS line_turn, y.line,
+
+
+def memory(table: str) -> str:
+    """CTEs up to ``mem``: the lines of the last 500 characters before each turn."""
+    return f"""mem0 AS (SELECT conv_id, turn, string_split(right(coalesce(string_agg(line || chr(10), '') OVER
+    (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ''), 500), chr(10)) AS x FROM {table}),
+mem AS (SELECT conv_id, turn, unnest(x) AS line, generate_subscripts(x, 1) AS line_no FROM mem0)"""
+
+
+_NEAR = f"""{L}, {memory('l')}, s AS (SELECT x.conv_id, x.turn, x.content AS reply, y.line_no AS line_turn, y.line,
     {_BARE.format('x.content')} AS a, {_BARE.format('y.line')} AS b, length(x.content) // 3 AS lim
-  FROM l x JOIN l y ON x.conv_id = y.conv_id AND y.turn BETWEEN x.turn - 9 AND x.turn - 1 AND y.line <> ''),
+  FROM l x JOIN mem y ON x.conv_id = y.conv_id AND x.turn = y.turn AND y.line <> ''),
 g AS (SELECT *, CASE WHEN a = '' OR b = '' THEN 0 WHEN abs(length(a) - length(b)) >= lim THEN NULL
     ELSE levenshtein({_PLAIN.format('a')}, {_PLAIN.format('b')}) END AS plain FROM s),
 v AS (SELECT *, CASE WHEN plain IS NULL OR plain >= lim THEN FALSE WHEN plain * 2 < lim THEN TRUE
@@ -357,7 +366,7 @@ n AS (SELECT conv_id, turn, arg_min(line, line_turn) AS near_line FROM v WHERE n
     f"WITH {_NEAR} SELECT l.conv_id, l.turn, n.near_line FROM l LEFT JOIN n USING (conv_id, turn)",
 )
 def j5(spark, d):
-    near = loops.near_duplicate_reply(lines(spark, d), "conv_id", "turn", "content", "line", 9, 16)
+    near = loops.near_duplicate_reply(lines(spark, d), "conv_id", "turn", "content", "line", 500, 16)
     return near.select("conv_id", "turn", "near_line")
 
 
@@ -542,17 +551,14 @@ def w7(spark, d):
 @query(
     "w8_drop_lines",
     f"""WITH {L}, g AS (SELECT conv_id, list(line ORDER BY turn) AS x FROM l GROUP BY conv_id)
-    SELECT conv_id, array_to_string(x[3:], chr(10)) AS without_first, array_to_string(x[:-3], chr(10)) AS without_last
-    FROM g""",
+    SELECT conv_id, CAST(0 AS BIGINT) AS segment, CASE WHEN len(x) > 2 THEN array_to_string(x[3:], chr(10)) END AS without_first,
+      CASE WHEN len(x) > 2 THEN array_to_string(x[:-3], chr(10)) END AS without_last FROM g""",
 )
 def w8(spark, d):
-    joined = transcript.build_transcript(lines(spark, d), "conv_id", "turn", "line")
-    split = tx.split_lines(F.col("transcript"))
-    return joined.select(
-        "conv_id",
-        tx.join_lines(tx.drop_first_lines(split, 2)).alias("without_first"),
-        tx.join_lines(tx.drop_last_lines(split, 2)).alias("without_last"),
-    )
+    rows = lines(spark, d)
+    first = transcript.without_edges(rows, "conv_id", "turn", "line", first=2, out="without_first")
+    last = transcript.without_edges(rows, "conv_id", "turn", "line", last=2, out="without_last")
+    return first.join(last, ["conv_id", "segment"])
 
 
 _CHECKS = f"""v AS ({derived.VERDICTS_SQL}), p AS (SELECT *, row_number() OVER (PARTITION BY channel_id

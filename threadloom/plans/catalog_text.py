@@ -559,7 +559,6 @@ def n6(spark, d):
     )
 
 
-@query("f8_affirmative_verdict", f"WITH {M} SELECT msg_id, contains(lower(split_part(content, ' ', 1)), 'y') AS yes FROM m")
+@query("f8_affirmative_verdict", f"WITH {M} SELECT msg_id, contains(lower(content), 'y') AS yes FROM m")
 def f8(spark, d):
-    word = F.split_part("content", F.lit(" "), F.lit(1))
-    return messages(spark, d).select("msg_id", jsonio.affirmative(word).alias("yes"))
+    return messages(spark, d).select("msg_id", jsonio.affirmative(F.col("content")).alias("yes"))

@@ -77,7 +77,7 @@ def postprocess_reply(
     """
     cleaned = clean_reply(replies, reply, prompt, conf)
     judged = loops.judge_replies(
-        cleaned, key, pos, "message", line, conf.bot_name, conf.context_lines, conf.block_rows, raw="raw"
+        cleaned, key, pos, "message", line, conf.bot_name, conf.char_budget, conf.block_rows, raw="raw"
     )
     sent = F.col("policy") == "send"
     judged = loops.with_trimmed_affixes(judged, "message", "previous")
@@ -209,8 +209,8 @@ def token_pictures(token_rows: DataFrame, conf: ChatConfig) -> DataFrame:
 def reply_gate(messages: DataFrame, verdicts: DataFrame, conf: ChatConfig) -> DataFrame:
     """Messages to answer, and why.
 
-    A direct mention is answered at once.  Of the rest, the newest message of
-    each channel and tick is put to a model (``verdicts``: msg_id, answer) and
+    A direct mention is answered at once.  The newest message of each channel and
+    tick, unless it is one, is put to a model (``verdicts``: msg_id, answer) and
     answered on a yes.
     """
     others = gate.with_answerable(gate.drop_self(messages, conf.bot_id)).where("answerable")
@@ -221,19 +221,20 @@ def reply_gate(messages: DataFrame, verdicts: DataFrame, conf: ChatConfig) -> Da
         ),
     )
     direct = flagged.where("direct").select("channel_id", "msg_id", F.lit("direct_mention").alias("reason"))
-    # A direct mention is the newest message of its tick, but has been dealt with.
-    newest = gate.latest_per_tick(flagged.where(~F.col("direct")))
+    # The newest message of a tick takes the place of those before it, also if it is a
+    # direct mention, which has been dealt with.
+    newest = gate.latest_per_tick(flagged, more=("direct",)).where(~F.col("direct"))
     judged = newest.join(verdicts, "msg_id").where(jsonio.affirmative(tx.trim_all(F.col("answer"))))
     return direct.unionByName(judged.select("channel_id", "msg_id", F.lit("verdict").alias("reason")))
 
 
 def moderated_transcript(conversations: DataFrame, conf: ChatConfig) -> DataFrame:
-    """Moderated transcript per conversation, with its last characters.
+    """Moderated transcript per conversation, in segments, the last with the last characters of all.
 
-    The flagship: one scan, one shuffle on (conversation, segment).
+    The flagship: one shuffle on (conversation, segment), and one of the segments' ends.
     """
     body = tx.strip_spoof_headers(tx.flatten_newlines(F.col("text")))
     line = tx.mask_words(tx.format_chat_line(tx.clean_username(F.col("role")), body), conf.exact_words)
     lines = conversations.select("conv_id", "turn", line.alias("line"))
     joined = transcript.build_transcript(lines, "conv_id", "turn", "line", conf.segment_rows)
-    return joined.withColumn("tail", F.right(F.concat("transcript", F.lit("\n")), F.lit(conf.char_budget)))
+    return transcript.with_tail(joined, "conv_id", "transcript", conf.char_budget)
