@@ -52,11 +52,11 @@ def _closed(width_us: int) -> str:
 
 @query(
     "s2_read_messages_stream",
-    "SELECT conv_id, turn, role FROM conversations",
+    "SELECT conv_id, turn, role, text FROM conversations",
 )
 def s2(spark, d):
     run = Scratch(spark)
-    stream = table_stream(spark, d, "conversations").select("conv_id", "turn", "role")
+    stream = table_stream(spark, d, "conversations").select("conv_id", "turn", "role", "text")
     return runs.to_table(stream, run.out, run.checkpoint)
 
 

@@ -6,6 +6,8 @@ same text.  What differs by dialect is added on the Spark side only.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,8 +107,10 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def run_sql(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
+    """Run ``sql`` over the folder's tables, under view names that no user's view has."""
     for name in tables:
-        load(spark, sf_dir, name).createOrReplaceTempView(name)
+        load(spark, sf_dir, name).createOrReplaceTempView(f"threadloom_{name}")
+        sql = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 threadloom_{name}", sql)
     return spark.sql(sql)
 
 

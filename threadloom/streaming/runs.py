@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import LongType, StructField, StructType
 
 BatchFn = Callable[[DataFrame, int], DataFrame]
 
@@ -50,7 +51,8 @@ def in_batches(
 
 def read_epochs(spark: SparkSession, path: str, schema, since: int = 0, before: int | None = None):
     """What the epochs from ``since`` up to (not including) ``before`` have written."""
-    df = spark.read.schema(schema.add("epoch", "long") if "epoch" not in schema.names else schema)
+    fields = [f for f in schema.fields if f.name != "epoch"]
+    df = spark.read.schema(StructType([*fields, StructField("epoch", LongType())]))
     rows = df.option("basePath", path).parquet(path)
     kept = rows.where(rows["epoch"] >= since)
     return kept if before is None else kept.where(kept["epoch"] < before)
