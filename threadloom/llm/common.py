@@ -46,16 +46,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def trimmed(text: Column) -> Column:
-    return F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
+def split_words(text: Column, between: str) -> Column:
+    """What stands between matches of ``between``; of no or empty text, an empty array."""
+    outer = lambda w: (F.get(w, F.lit(0)) == "") | (F.element_at(w, -1) == "")
+    return let(
+        F.split(F.coalesce(text, F.lit("")), between),
+        lambda w: F.when(outer(w), F.filter(w, lambda x: x != "")).otherwise(w),
+    )
 
 
 def words(text: Column) -> Column:
-    """Words between white space; of no or empty text, an empty array."""
-    return let(
-        trimmed(text),
-        lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, SPACE)),
-    )
+    """Words between white space."""
+    return split_words(text, SPACE)
 
 
 def ascii_lower(text: Column) -> Column:

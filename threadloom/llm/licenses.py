@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import let
+from threadloom.llm.common import let, split_words
 
 
 @dataclass(frozen=True)
@@ -69,8 +69,8 @@ BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 def license_words(text: Column) -> Column:
     """Runs of letters, digits and characters beyond ASCII, A-Z lower-cased."""
     # lower() changes other letters too, which no template has; only the Kelvin sign becomes ASCII.
-    plain = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("K"), F.lit("�")))
-    return let(F.split(plain, BETWEEN_WORDS), lambda w: F.slice(w, F.when(F.get(w, F.lit(0)) == "", 2).otherwise(1), F.size(w) - F.when(F.get(w, F.lit(0)) == "", 1).otherwise(0) - F.when((F.size(w) > 1) & (F.element_at(w, -1) == ""), 1).otherwise(0)))
+    plain = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\ufffd")))
+    return split_words(plain, BETWEEN_WORDS)
 
 
 def document_counts(words: DataFrame, vocabulary: list[str]) -> dict[str, int]:

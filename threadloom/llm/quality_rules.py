@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import SPACE, SPACES, let, words
+from threadloom.llm.common import SPACES, let, words
 
 WINDOW = 8
 
@@ -81,7 +81,7 @@ def figures(text: Column, stop_words=STOP_WORDS) -> Column:
     def of(w: Column) -> Column:
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
-            F.char_length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
+            (F.char_length(text) - F.regexp_count(text, F.lit(r"[\x20\x09-\x0D]"))).cast("long").alias("word_chars"),
             F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
             let(
                 F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != ""),
