@@ -4,8 +4,10 @@ Each text gives 256 MinHash samples of its 5-word shingles.  The first 128 make
 bands of four; documents that agree on a band are candidates.  All samples fold into
 a parity bitmap of 1024 bits, the odd sketch: the bits in which two sketches differ
 tell how many samples differ, most precisely where few do, so that candidates below
-the wanted similarity fall away without a look at their texts.  Links are confirmed
-on the full shingle sets.
+the wanted similarity fall away without a look at their texts.  A second bitmap folds
+the whole set: its differing bits are never more than the differing shingles, which
+rules pairs out for certain, most of those just below the threshold among them.  Links
+are confirmed on the full shingle sets.
 
 Texts of equal shingle sets stand in as one.  In a band's bucket all members are
 compared with a few pivots, a number of rows that grows with the bucket and not
@@ -74,6 +76,12 @@ def samples_of(shingles: np.ndarray) -> np.ndarray:
     return best
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """Bitmap of the places that an odd number of hashes fall on."""
+    counts = np.bincount((hashes % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
@@ -96,8 +104,8 @@ def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for r in range(ROWS):
                     keys = mixed(keys * np.uint64(0x100000001B3) + quads[:, r])
                 bands.append(keys.view(np.int64))
-                bits = np.bincount((mixed((best + np.uint64(1)) * _PLACE) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
-            sketches.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
+                of_samples = parity(mixed((best + np.uint64(1)) * _PLACE))
+            sketches.append(np.concatenate([of_samples, parity(s)]))
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
@@ -120,10 +128,16 @@ def most_differing(percent: int) -> int:
 def look_alike(a: str, b: str, percent: int) -> Column:
     """Whether the sketches and sizes of two rows leave a link possible."""
     words = SKETCH_BITS // 64
-    apart = sum((F.bit_count(F.get(f"{a}_sketch", F.lit(i)).bitwiseXOR(F.get(f"{b}_sketch", F.lit(i)))) for i in range(1, words)),
-                F.bit_count(F.get(f"{a}_sketch", F.lit(0)).bitwiseXOR(F.get(f"{b}_sketch", F.lit(0)))))
+
+    def apart(first: int) -> Column:
+        bits = [F.bit_count(F.get(f"{a}_sketch", F.lit(i)).bitwiseXOR(F.get(f"{b}_sketch", F.lit(i)))) for i in range(first, first + words)]
+        return sum(bits[1:], bits[0])
+
     smaller, larger = F.least(f"{a}_n", f"{b}_n"), F.greatest(f"{a}_n", f"{b}_n")
-    return (100 * smaller >= percent * larger) & (apart <= most_differing(percent))
+    # Bits of the sets' bitmaps differ in no more places than the sets do: a bound without
+    # chance, and a close one while the sets are not much larger than the bitmap.
+    possible = apart(words) * (100 + percent) <= (100 - percent) * (smaller + larger)
+    return (100 * smaller >= percent * larger) & (apart(0) <= most_differing(percent)) & possible
 
 
 def linked(percent: int):
