@@ -93,7 +93,8 @@ def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     features, leader, rows = Features(), Leader(), []
     for batch in batches:
         for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-            rows.append((*features.of(text), label))
+            at, values = features.of(text)
+            rows.append((at.astype(np.int32), values, label))  # some 10 KB a row
     for _ in range(EPOCHS):
         for row in rows:
             leader.learn(*row)
