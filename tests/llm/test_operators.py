@@ -138,6 +138,20 @@ def test_decontamination_takes_changed_words(spark):
     assert {r.doc_id for r in decontaminated(d, items).collect()} == {2, 3}
 
 
+def test_decontamination_of_short_items(spark):
+    """Items of 6, 10 and 15 words, as they are and with one and two changed words in the middle."""
+    items = {n: prose(60 + n, n).split() for n in (6, 10, 15)}
+    texts = {}
+    for n, w in items.items():
+        for changed, at in enumerate(((), (n // 2,), (n // 2 - 1, n // 2))):
+            texts[10 * n + changed] = " ".join(["before"] + ["other" if i in at else x for i, x in enumerate(w)] + ["after", prose(n, 30)])
+    d = spark.createDataFrame([(i, t, "", "", 0) for i, t in texts.items()], SCHEMA)
+    listed = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()] + [(8, " "), (9, None), (1, "zzz")], "item_id long, text string")
+    got = {tuple(r) for r in benchmark_overlaps(d, listed).collect()}
+    assert got == {(60, 6, 6, 6), (100, 10, 10, 10), (101, 10, 8, 10), (150, 15, 15, 15), (151, 15, 13, 15), (152, 15, 11, 15)}  # two changed words leave the item of 10 no seed
+    assert got == {tuple(r) for r in benchmark_overlaps(d, listed, broadcast_seeds=0).collect()}
+
+
 def test_license_scan(spark):
     d = docs(spark, "Licensed under CC BY-NC 4.0.", "by mit und mit License", "Permission is hereby granted, free of charge, to any person obtaining a copy", "Permission is hereby granted, free of charge.", None)
     got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) for r in license_scan(d).collect()}

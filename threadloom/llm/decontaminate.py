@@ -4,7 +4,8 @@ A seed is a mask over nine consecutive words: six are hashed, three are ignored,
 that a changed word leaves some seeds of every stretch intact.  Seeds of the
 benchmark and of the documents meet in a join; round each hit the words of the two
 texts are compared along the hit's diagonal, and the best stretch counts, a changed
-word costing as much as it would have given.
+word costing as much as it would have given.  An item too short for a seed is looked
+up whole, by one hash of all its words.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from threadloom.llm.common import let, words
 #: Word offsets that each mask keeps.
 MASKS = ((0, 1, 3, 4, 7, 8), (0, 2, 3, 5, 6, 8))
 SPAN = 9
-#: Equal words less changed ones that make an overlap; a shorter item must be there whole.
+#: Equal words less changed ones that make an overlap of a long item.
 LEAST_SCORE = 12
+#: Share of a shorter item's words that does; an item without a seed must be there whole.
+ITEM_SHARE = 0.6
 #: Benchmark seeds that are broadcast (16 bytes each); more are joined by shuffling.
 BROADCAST_SEEDS = 1_000_000
 
@@ -43,6 +46,35 @@ def exploded(df: DataFrame, key: str, text: str, out: str) -> DataFrame:
     )
 
 
+def whole_items(docs: DataFrame, items: DataFrame, broadcast_items: int) -> DataFrame:
+    """(doc, item, score, item_words) of the items of fewer than ``SPAN`` words that a document has word for word.
+
+    ``docs`` has doc and _text, ``items`` item and _text.
+    """
+    hashed = items.select("item", let(word_hashes(F.col("_text")), lambda h: F.struct(F.size(h).alias("n"), F.xxhash64(h).alias("whole"))).alias("_h"))
+    short = hashed.select("item", F.col("_h.n").alias("item_words"), F.col("_h.whole").alias("_whole")).where(F.col("item_words").between(1, SPAN - 1)).distinct()
+    counts = {r["item_words"]: r["count"] for r in short.groupBy("item_words").count().collect()}  # at most SPAN - 1 rows
+
+    def windows(h: Column) -> Column:
+        """A struct of length and hash for each run of words that is as long as some item."""
+
+        def of(n: int) -> Column:
+            starts = F.sequence(F.lit(0), F.size(h) - n)
+            runs = F.transform(starts, lambda i: F.xxhash64(F.array(*[F.get(h, i + k) for k in range(n)])))
+            made = F.transform(F.array_distinct(runs), lambda x: F.struct(F.lit(n).alias("n"), x.alias("whole")))
+            return F.when(F.size(h) >= n, made).otherwise(F.array().cast("array<struct<n:int,whole:bigint>>"))
+
+        return F.concat(*map(of, sorted(counts)))
+
+    if not counts:
+        return short.select(F.lit(None).cast(docs.schema["doc"].dataType).alias("doc"), "item", F.col("item_words").alias("score"), "item_words").where(F.lit(False))
+    runs = docs.select("doc", F.explode(let(word_hashes(F.col("_text")), windows)).alias("_run")).select(
+        "doc", F.col("_run.n").alias("item_words"), F.col("_run.whole").alias("_whole")
+    )
+    found = runs.join(F.broadcast(short) if sum(counts.values()) <= broadcast_items else short, ["item_words", "_whole"])
+    return found.select("doc", "item", F.col("item_words").alias("score"), "item_words").distinct()
+
+
 def best_stretch(doc: Column, item: Column, diagonal: Column) -> Column:
     """Score, and first and last item word, of the best stretch of one diagonal."""
     start = F.struct(*[F.lit(0).alias(n) for n in ("now", "from_", "best", "first", "last")])
@@ -71,14 +103,16 @@ def benchmark_overlaps(
     text: str = "text",
     least_score: int = LEAST_SCORE,
     broadcast_seeds: int = BROADCAST_SEEDS,
+    item_share: float = ITEM_SHARE,
 ) -> DataFrame:
     """(doc_id, item_id, score, item_words): what the documents share with the benchmark.
 
     Words stand between white space and are compared in lower case.  A pair counts
     if a stretch of one diagonal has ``least_score`` more equal words than changed
-    ones, or the whole item if that is shorter.  Items of fewer than 9 words have no
-    seed and are never found; nor are null texts and rows without an id.  Items of
-    one id are one item with several texts, the best of which counts.
+    ones, or ``item_share`` of the item's words if that is less.  Items of fewer than
+    9 words have no seed: they count where the document has them word for word.  Null
+    texts and rows without an id are never found.  Items of one id are one item with
+    several texts, the best of which counts.
     """
     of_docs = exploded(docs.where(F.col(doc_id).isNotNull()), doc_id, text, "doc")
     # An item is read wherever it is needed: the benchmark is small beside the corpus.
@@ -108,7 +142,10 @@ def benchmark_overlaps(
             lambda x: let(x["doc"], lambda doc: let(x["item"], lambda item: best_stretch(doc, item, F.col("_hit._diagonal"))["best"])),
         ).alias("score"),
         F.size("_hit._item").alias("item_words"),
-    ).where(F.col("score") >= F.least(F.lit(least_score), F.col("item_words")))
+    ).where(F.col("score") >= F.least(F.lit(least_score), F.ceil(F.col("item_words") * F.lit(item_share))))
+    texts = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(text).alias("_text"))
+    whole = whole_items(texts, numbered, broadcast_seeds).select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), "score", "item_words")
+    scored = scored.unionByName(whole)
     best = F.max(F.struct("score", "item_words"))
     return scored.groupBy(doc_id, item_id).agg(best.alias("_b")).select(
         doc_id, item_id, F.col("_b.score").cast("long").alias("score"), F.col("_b.item_words").cast("long").alias("item_words")
