@@ -237,6 +237,19 @@ def test_pii(spark):
     assert got[5].r == "é😀 <phone>"
 
 
+def test_pii_thresholds_come_from_all_candidates(spark):
+    """A kind that is rare beside the others is redacted whatever the size of the sample."""
+    r = random.Random(8)
+    many = [f"mail to user{i}@host{i % 7}.com or 999.{i % 256}.3.4 or 10.0.{i % 256}.9" for i in range(600)]
+    rare = [f"tel 030 55{i} 12{i} now" for i in range(10, 18)]
+    rare += ["api_key = " + "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(36)) for _ in range(8)]
+    d = docs(spark, *many, *rare).repartition(4)
+    for most in (120, 20_000):
+        rows = pii.find_pii(d, pii.fit(d, most=most)).where(f"doc_id >= {len(many)}").select("doc_id", pii.joined(F.col("pii")).alias("found")).collect()
+        assert {x.found.split(":")[0] for x in rows if x.doc_id < len(many) + 8} == {"phone"}
+        assert {x.found.split(":")[0] for x in rows if x.doc_id >= len(many) + 8} == {"secret"}
+
+
 def test_quality_weights_without_labels(spark):
     d = docs(spark, "some text", None)
     w = fit(d, spark.createDataFrame([], "doc_id long, label int"))

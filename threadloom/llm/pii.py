@@ -2,22 +2,23 @@
 
 Generators of high recall propose spans, which may overlap.  Boosted trees, fitted
 here on a bounded sample of the corpus's own candidates, judge each from its format
-and its context; a threshold for each generator, calibrated on the half of the
-sample that the trees have not seen, selects what is redacted.  Spans of the four
-base kinds that pass their checks are always kept.  The trees are compiled into one
+and its context; a threshold for each generator, calibrated on all candidates of the
+corpus, selects what is redacted.  Spans of the four base kinds that pass their checks are always kept.  The trees are compiled into one
 column expression, so that scoring is part of the scan.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import let
+from threadloom.llm.common import let, shared_table
 
 #: Kinds in the order of equal starts.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -45,7 +46,7 @@ GENERATORS = (
     Generator("secret", r"(?<![A-Za-z0-9_/+=-])(?=[A-Za-z_/+=-]*+[0-9])[A-Za-z0-9_/+=-]{20,}+", r"[A-Za-z0-9_/+=-]{20}", False),
 )
 FEATURES = ("generator", "length", "digits", "letters", "upper", "kinds_of_chars", "digit_share", "luhn", "keyword", "assigned", "separators")
-#: Candidates that training reads at most: those of the smallest hashes.
+#: Distinct candidates that the trees are fitted on, in equal parts for each generator.
 TRAIN_CANDIDATES = 20_000
 TREES, DEPTH = 8, 3
 #: Share of right ones among what a generator's threshold lets pass.
@@ -173,30 +174,44 @@ def _tree(node):
     return FEATURES[split.featureIndex()], float(split.threshold()), _tree(node.leftChild()), _tree(node.rightChild())
 
 
+def training_sample(every: DataFrame, most: int = TRAIN_CANDIDATES) -> DataFrame:
+    """About ``most`` / 6 distinct candidates of each generator, or all that it has.
+
+    They are chosen by hashes, against a limit from their number: nothing is sorted but
+    the sample, in one task, so that its order is always the same.
+    """
+    one = every.distinct()
+    counts = {int(r["generator"]): r["count"] for r in one.groupBy("generator").count().collect()}
+    each, steps = most // len(GENERATORS), 1 << 30
+    # Candidates of one value in one context share a hash, and one row.
+    place = F.pmod(F.xxhash64("hash", "generator"), F.lit(steps))
+    wanted = [(F.col("generator") == n) & (place < F.lit(min(steps, steps * each // c))) for n, c in counts.items()]
+    return one.where(reduce(or_, wanted, F.lit(False))).repartition(1).sortWithinPartitions("hash", "generator", "length")
+
+
 def fit(docs: DataFrame, text: str = "text", most: int = TRAIN_CANDIDATES) -> Model:
-    """Trees and thresholds from at most ``most`` candidates of all documents.
+    """Trees from about ``most`` candidates, thresholds from all candidates of all documents.
 
     Where the sample lacks either label nothing can be learned, and no candidate
     beyond the base kinds passes.
     """
-    sample = candidates(docs, text).orderBy("hash", "generator", "length").limit(most).persist()
+    every = shared_table(candidates(docs, text), "pii-candidates")
+    sample = training_sample(every, most).persist()
     try:
-        half = F.pmod(F.shiftright("hash", 7), F.lit(2))
-        rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample.withColumn("half", half))
-        both = rows.where("half = 0").select(F.min("label"), F.max("label")).first()
+        rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample)
+        both = rows.select(F.min("label"), F.max("label")).first()
         if both[0] is None or both[0] == both[1]:
             return Model((), (2.0,) * len(GENERATORS))
-        model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, labelCol="label", featuresCol="features").fit(rows.where("half = 0"))
-        trees = tuple((float(w), _tree(t._call_java("rootNode"))) for w, t in zip(model.treeWeights, model.trees))
-        score = Model(trees, ()).score(F.struct(*FEATURES))
-        counts = (
-            rows.where("half = 1")
-            .groupBy(F.col("generator").cast("int").alias("generator"), F.floor(score * 100).cast("int").alias("at"))
-            .agg(F.sum("label").alias("right"), F.count(F.lit(1)).alias("all"))
-            .collect()  # at most 101 rows a generator
-        )
+        model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, labelCol="label", featuresCol="features").fit(rows)
     finally:
         sample.unpersist()
+    trees = tuple((float(w), _tree(t._call_java("rootNode"))) for w, t in zip(model.treeWeights, model.trees))
+    score = Model(trees, ()).score(F.struct(*FEATURES))
+    counts = (
+        every.groupBy(F.col("generator").cast("int").alias("generator"), F.floor(score * 100).cast("int").alias("at"))
+        .agg(F.sum("label").alias("right"), F.count(F.lit(1)).alias("all"))
+        .collect()  # at most 101 rows a generator
+    )
     thresholds = []
     for n in range(len(GENERATORS)):
         right = every = 0.0
