@@ -13,7 +13,7 @@ from threadloom.llm.licenses import license_scan
 from threadloom.llm.line_dedup import line_dedup
 from threadloom.llm.mixing import mix_sources
 from threadloom.llm.near_dedup import components, near_dedup, shingle_set
-from threadloom.llm.quality_model import BUCKETS, fit, quality_scores
+from threadloom.llm.quality_model import BUCKETS, Features, ShapeHashes, fit, quality_scores
 from threadloom.llm.quality_rules import quality_rules
 from threadloom.llm.substring_dedup import substring_dedup
 from threadloom.llm.url_filters import trie_of, url_filters, walk
@@ -256,6 +256,15 @@ def test_quality_weights_without_labels(spark):
     assert len(w) == BUCKETS and [r.score for r in quality_scores(d, w).collect()] == [0.5, 0.5]
 
 
+def test_shapes_of_whole_words_in_any_order():
+    long = "a" * 64
+    assert ShapeHashes()[(long + "0-0").encode()] != ShapeHashes()[long.encode()]
+    warm = Features()
+    warm.of("é 漢 É")
+    for text in ("x", "ax x0 x", "é x"):
+        assert [x.tolist() for x in warm.of(text)] == [x.tolist() for x in Features().of(text)]
+
+
 def test_words(spark):
     row = spark.createDataFrame([(" a\tb\x0b\x0cc d ",)], "text string").select(words(F.col("text"))).first()
     assert row[0] == ["a", "b", "c d"]

@@ -36,9 +36,15 @@ _CLASSES = bytes.maketrans(
 class ShapeHashes(WordHashes):
     """Hash of a word's shape: its kinds of characters, without repeats."""
 
+    def __init__(self):
+        super().__init__()
+        # Apart from the words: a shape, such as x, may be a word of another shape.
+        self.by_shape = WordHashes()
+
     def __missing__(self, word: bytes) -> int:
-        value = super().__missing__(re.sub(rb"(.)\1+", rb"\1", word[:64].translate(_CLASSES), flags=re.S))
-        self[word] = value
+        if len(self) >= self.most:
+            self.clear()
+        value = self[word] = self.by_shape[re.sub(rb"(.)\1+", rb"\1", word.translate(_CLASSES), flags=re.S)]
         return value
 
 
