@@ -1,10 +1,14 @@
 """Streams over split files give what batch gives over all."""
 
 import random
+from pathlib import Path
 
+import pytest
+from compare import compare, oracle_connection
 from pyspark.sql import functions as F
 
 from threadloom.operators import transcript
+from threadloom.plans import catalog, catalog_stream
 from threadloom.sources import readers
 from threadloom.streaming import operators as st
 
@@ -54,3 +58,27 @@ def test_cooldown_and_backoff_across_batches(spark, tmp_path):
     checks = stream.select("channel_id", F.col("tick").alias("pos"), F.when(F.col("tick") == 21, "Yes").otherwise("No").alias("answer"))
     got = runs.to_table(st.backoff(checks), str(tmp_path / "o2"), str(tmp_path / "c2"))
     assert {r.pos: r.wait for r in got.collect()} == {1: 1, 5: 2, 11: 3, 12: 0, 21: 0, 40: 1}
+
+
+FOLDER = "/root/testdata/sf0.001"
+DEALT = {"st4_stream_assemble_tokens": ("tokens", 2), "st8_stream_transcript": ("lines", 3), "st11_stream_typing_timeout": ("tokens", 1)}
+
+
+@pytest.mark.parametrize("name", DEALT)
+def test_written_input_is_dealt_over_tasks(spark, monkeypatch, name):
+    roots = []
+
+    class Kept(catalog_stream.Scratch):
+        def __init__(self, spark):
+            super().__init__(spark)
+            roots.append(self.root)
+
+    monkeypatch.setattr(catalog_stream, "Scratch", Kept)
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")
+    try:
+        assert compare(spark, oracle_connection(FOLDER), name, catalog.QUERIES[name], catalog.ORACLES[name], FOLDER) is None
+    finally:
+        spark.conf.unset(setting)
+    folder, parts = DEALT[name]
+    assert len(list(Path(roots[0].removeprefix("file:"), folder).glob("*.parquet"))) > parts

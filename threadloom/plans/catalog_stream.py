@@ -45,6 +45,15 @@ def tick_table(spark, stream, run, width=gate.TICK):
     return readers.read_stream(spark, run.ticks, done.schema)
 
 
+def write_parts(parts, path, key):
+    """Append the tables in turn, each dealt by ``key``: how many files the first has, for one micro-batch."""
+    files = []
+    for part in parts:
+        part.repartition(key).write.mode("append").parquet(path)
+        files = files or part.sparkSession.read.schema(part.schema).parquet(path).inputFiles()
+    return max(len(files), 1)
+
+
 # A tick is over once the newest event (in whole milliseconds) lies beyond its end.
 def _closed(width_us: int) -> str:
     return f"(tick + 1) * {width_us} <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events)"
@@ -127,9 +136,9 @@ def st3(spark, d):
 def st4(spark, d):
     run = Scratch(spark)
     tokens = derived.tokens(spark, d)
-    for part in (F.col("seq") < 12, F.col("seq") >= 12):  # two files: replies span micro-batches
-        tokens.where(part).coalesce(1).write.mode("append").parquet(run.tokens)
-    stream = readers.read_tokens_stream(spark, run.tokens, files_per_trigger=1)
+    halves = tokens.where(F.col("seq") < 12), tokens.where(F.col("seq") >= 12)  # replies span micro-batches
+    files = write_parts(halves, run.tokens, "request_id")
+    stream = readers.read_tokens_stream(spark, run.tokens, files_per_trigger=files)
     replies = st.assemble_tokens(stream.select("request_id", "seq", "raw"), TEST.reply_header, TEST)
     return runs.to_table(replies, run.out, run.checkpoint)
 
@@ -189,9 +198,8 @@ def st7(spark, d):
 def st8(spark, d):
     run = Scratch(spark)
     rows = chat.lines(spark, d).select("conv_id", "turn", "line")
-    for part in ("turn < 2", "turn BETWEEN 2 AND 4", "turn > 4"):
-        rows.where(part).coalesce(1).write.mode("append").parquet(run.lines)
-    stream = readers.read_stream(spark, run.lines, rows.schema, files_per_trigger=1)
+    files = write_parts(map(rows.where, ("turn < 2", "turn BETWEEN 2 AND 4", "turn > 4")), run.lines, "conv_id")
+    stream = readers.read_stream(spark, run.lines, rows.schema, files_per_trigger=files)
     return st.running_transcript(stream, run.out, run.state, run.checkpoint, 900).select("conv_id", "turn", "tail")
 
 
@@ -226,7 +234,7 @@ def st11(spark, d):
     """One token a second: a reply of more than seven ticks is ended."""
     run = Scratch(spark)
     tokens = derived.tokens(spark, d).withColumn("ts", F.timestamp_seconds(F.col("seq") + 1704067200))
-    tokens.coalesce(1).write.parquet(run.tokens)
+    write_parts([tokens], run.tokens, "request_id")
     stream = readers.read_tokens_stream(spark, run.tokens)
     replies = st.assemble_tokens(stream, TEST.reply_header, TEST, delay="0 seconds")
     return runs.to_table(replies, run.out, run.checkpoint).where("status = 'finished'")
