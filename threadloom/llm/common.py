@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 import uuid
 from collections.abc import Callable
 
@@ -38,6 +40,31 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def own_names(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Let the operator's input have columns of any name.
+
+    Operators name what they make on the way with a leading underscore.  Input columns
+    of such names are called otherwise meanwhile, and get their names back in the result.
+    """
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        theirs = [c for c in docs.columns if c.startswith("_")]
+        taken = {c.lower() for c in docs.columns}
+        free = (n for n in (f"theirs {i}" for i in itertools.count()) if n not in taken)
+        meanwhile = dict(zip(theirs, free))
+
+        def asked(v):
+            if isinstance(v, tuple):
+                return tuple(map(asked, v))
+            return meanwhile.get(v, v) if isinstance(v, str) else v
+
+        out = operator(docs.withColumnsRenamed(meanwhile), *map(asked, args), **{k: asked(v) for k, v in kwargs.items()})
+        return out.withColumnsRenamed({v: k for k, v in meanwhile.items()})
+
+    return run
+
+
 # --- columns -----------------------------------------------------------------
 
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import SPACES, let, words
+from threadloom.llm.common import SPACES, let, own_names, words
 
 WINDOW = 8
 
@@ -115,23 +115,33 @@ def verdicts(f: Column, rules=RULES) -> Column:
     return F.array_compact(F.array(*map(broken, rules)))
 
 
+@own_names
 def quality_rules(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """All columns of ``docs`` and the counts, base_failed, broken_rules, kept.
 
     A null or empty text has no words and fails.  Rows are independent: ids may
-    be null or repeated.  Columns of ``docs`` with the names of the new ones give way.
+    be null or repeated, an empty table gives an empty one.  Columns of ``docs`` with
+    the names of the new ones give way.
     """
+
+    def judged(f: Column) -> Column:
+        base = (f["n_words"] < 20) | (100 * f["n_repeat_words"] > 30 * f["n_words"])
+        verdict = let(verdicts(f, rules), lambda v: F.struct(v.alias("broken_rules"), (~base & (F.size(v) == 0)).alias("kept")))
+        return let(
+            verdict,
+            lambda v: F.struct(
+                *[f[c].alias(c) for c in ("n_words", "word_chars", "n_symbols")],
+                f["lines"]["dup"].alias("n_dup_lines"),
+                f["n_repeat_words"].alias("n_repeat_words"),
+                base.alias("base_failed"),
+                v["broken_rules"].alias("broken_rules"),
+                v["kept"].alias("kept"),
+            ),
+        )
+
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "broken_rules", "kept")
-    f = F.col("_figures")
-    base = (f["n_words"] < 20) | (100 * f["n_repeat_words"] > 30 * f["n_words"])
-    out = docs.drop(*made).withColumn("_figures", figures(F.col(text)))
-    return out.select(
-        *[F.col(f"`{c}`") for c in out.columns if c != "_figures"],
-        f["n_words"].alias("n_words"),
-        f["word_chars"].alias("word_chars"),
-        f["n_symbols"].alias("n_symbols"),
-        f["lines"]["dup"].alias("n_dup_lines"),
-        f["n_repeat_words"].alias("n_repeat_words"),
-        base.alias("base_failed"),
-        verdicts(f, rules).alias("broken_rules"),
-    ).withColumn("kept", ~F.col("base_failed") & (F.size("broken_rules") == 0))
+    # One value for figures and verdict: a filter on kept reads a field of it, and does not
+    # bring a copy of the figures for each rule.
+    out = docs.drop(*made)
+    # What reads several fields of it gets it by way of an array, which is not taken apart.
+    return out.select("*", F.inline(F.array(let(figures(F.col(text)), judged)))).select(*[f"`{c}`" for c in out.columns], *made)
