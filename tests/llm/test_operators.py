@@ -69,6 +69,49 @@ def test_clashing_columns_give_way(spark, name):
     assert all("old" not in [r[c] for c in made] for r in got.collect())
 
 
+CLASHING = "_text _id _key _here _last _drops _hits _found _rest _base _figures _doc _item _set _bands _root _TEXT2 _p _order".split()
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_columns_of_internal_names(spark, name):
+    """Input columns with the names that operators use inside come through unchanged."""
+    plain = docs(spark, prose(1, 60), prose(2, 60) + "\n" + prose(1, 60), None)
+    clashing = plain.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in CLASHING})
+    want = sorted(map(tuple, OPERATORS[name](plain).collect()), key=repr)
+    out = OPERATORS[name](clashing)
+    extra = [c for c in out.columns if c in CLASHING]
+    if name not in ("near_dedup", "quality_scores", "overlaps"):
+        assert extra == CLASHING
+    assert sorted(map(tuple, out.drop(*CLASHING).collect()), key=repr) == want
+    assert all(r[c] == f"{c}{r.doc_id}" for r in out.collect() for c in extra)
+
+
+def test_mixing_with_a_source_without_words(spark):
+    rows = [(0, "a b c d", "", "s", 0), (1, None, "", "t", 0), (2, "", "", "t", 0), (3, " ", "", None, 0)]
+    got = mix_sources(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r.doc_id, r.size, r.source_size) for r in got} == {(0, 4, 4), (1, 0, 0), (2, 0, 0), (3, 0, 0)}
+    assert all(r.taken == r.target == 0 for r in got if r.doc_id) and {r.taken for r in got if r.doc_id == 0} == {4}
+    for texts in ([None, ""], []):
+        assert [r.taken for r in mix_sources(docs(spark, *texts)).collect()] == [0] * len(texts)
+
+
+URL_TABLE = "page_id long, url string, _found string, _rest string, host string"
+
+
+def test_url_filters_on_odd_rows(spark):
+    long = "http://a.com/" + "x/" * 200_000
+    rows = [(1, long, "f", "r", "old"), (1, long, "f", "r", "old"), (None, None, None, None, None), (2, "http://" + "b." * 5000 + "a.com", "f", "r", "old")]
+    got = url_filters(spark.createDataFrame(rows, URL_TABLE), RULES).collect()
+    assert len(got) == 4 and {r.rule for r in got} == {"a.com", None} and {r._found for r in got} == {"f", None}
+    assert url_filters(spark.createDataFrame([], URL_TABLE), RULES).collect() == []
+
+
+def test_filter_on_kept_works_figures_out_once(spark):
+    """The symbol pattern stands once in the plan, however many rules read its count."""
+    kept = quality_rules(docs(spark, "x")).where("kept").select("doc_id", "text")
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("#*$%&|") == 1
+
+
 def test_line_dedup(spark):
     d = docs(spark, "A shared line here\nown one zero zero", "  a SHARED line here \nshort\nshort", None, "short\nÀ shared line here", "own line own line\nown line own line")
     got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in line_dedup(d, filter_bits=1 << 19).collect()}

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import let, words
+from threadloom.llm.common import let, own_names, words
 
 #: Word offsets that each mask keeps.
 MASKS = ((0, 1, 3, 4, 7, 8), (0, 2, 3, 5, 6, 8))
@@ -95,6 +95,7 @@ def best_stretch(doc: Column, item: Column, diagonal: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.size(item) - 1), start, step)
 
 
+@own_names
 def benchmark_overlaps(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -152,6 +153,7 @@ def benchmark_overlaps(
     )
 
 
+@own_names
 def decontaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """``docs`` without those that overlap an item; rows without an id stay."""
     found = benchmark_overlaps(docs, benchmark, doc_id, **options).select(F.col(doc_id).alias("_found")).distinct()

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import let, split_words
+from threadloom.llm.common import let, own_names, split_words
 
 
 @dataclass(frozen=True)
@@ -109,6 +109,7 @@ def places(w: Column, t: Template, anchor: int) -> Column:
     return F.filter(found, lambda x: x["share"] >= t.share)
 
 
+@own_names
 def license_scan(docs: DataFrame, text: str = "text", base=BASE, templates=TEMPLATES) -> DataFrame:
     """All columns of ``docs`` and the licences found in each text.
 

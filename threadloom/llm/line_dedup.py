@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import encoded, shared_table
+from threadloom.llm.common import encoded, own_names, shared_table
 
 #: White space that bytes.strip() takes off: \\x20 and \\x09-\\x0D.
 LEAST_CHARS = 10
@@ -175,6 +175,7 @@ def without_lines(least_chars: int):
     return run
 
 
+@own_names
 def line_dedup(
     docs: DataFrame,
     doc_id: str = "doc_id",

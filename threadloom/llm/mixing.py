@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import shared_table
+from threadloom.llm.common import own_names, shared_table
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -68,7 +68,7 @@ def random_of(doc_id: Column, seed: int) -> Column:
 
 def copies_of(doc_id: Column, seed: int) -> tuple[Column, Column]:
     """Certain copies of a document, and its place in its source's order, in [0, 1]."""
-    per_word = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    per_word = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     whole = F.floor(per_word)
     p = per_word - whole
     u = random_of(doc_id, seed)
@@ -77,6 +77,7 @@ def copies_of(doc_id: Column, seed: int) -> tuple[Column, Column]:
     return whole, order
 
 
+@own_names
 def mix_sources(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -93,7 +94,7 @@ def mix_sources(
     The size is the number of words (of a null text 0), taken is copies times size.
     Sources have one row each in a small table, which must fit one task; documents
     of one source may be any number.  A null source is a source, an empty string
-    another.  Rows of one id have one random number; rows of one id and size go in
+    another; a source without any words has target 0 and none of it is taken.  Rows of one id have one random number; rows of one id and size go in
     or stay out together.  Documents without an id count as one id.  New columns
     take the place of old ones of their names.
     """
@@ -110,7 +111,8 @@ def mix_sources(
     whole, order = copies_of(F.col("_id"), seed)
     ranked = (
         sizes.join(targets, "_key")
-        .withColumn("_p", F.col("target") / F.col("source_size") - whole)
+        .where("source_size > 0")
+        .withColumn("_p", F.try_divide("target", "source_size") - whole)
         .where(F.col("_p") > 0)
         .withColumn("_order", order)
         .withColumn("_bucket", F.least(F.floor(F.col("_order") * buckets), F.lit(buckets - 1)))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import WordHashes, encoded, mixed, shared_table
+from threadloom.llm.common import WordHashes, encoded, mixed, own_names, shared_table
 
 SHINGLE = 5
 SAMPLES = 256
@@ -190,6 +190,7 @@ def components(links: DataFrame) -> DataFrame:
         seen = state
 
 
+@own_names
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs``.
 

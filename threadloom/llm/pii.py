@@ -18,7 +18,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import let, shared_table
+from threadloom.llm.common import let, own_names, shared_table
 
 #: Kinds in the order of equal starts.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -224,6 +224,7 @@ def fit(docs: DataFrame, text: str = "text", most: int = TRAIN_CANDIDATES) -> Mo
     return Model(trees, tuple(thresholds))
 
 
+@own_names
 def find_pii(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All columns of ``docs`` and base and pii: arrays of (start, kind_no, end, kind), sorted.
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import WordHashes, encoded, mixed
+from threadloom.llm.common import WordHashes, encoded, mixed, own_names
 
 #: Weights; as float32 they are 1 MB.
 BUCKETS = 1 << 18
@@ -148,6 +148,7 @@ def scores_of_task(shared):
     return run
 
 
+@own_names
 def quality_scores(docs: DataFrame, weights: np.ndarray, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` and score of every row; a null or empty text has the intercept's."""
     shared = docs.sparkSession.sparkContext.broadcast(weights.tobytes())

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import WordHashes, encoded, mixed, shared_table
+from threadloom.llm.common import WordHashes, encoded, mixed, own_names, shared_table
 
 WINDOW = 35
 ANCHOR = 16
@@ -145,6 +145,7 @@ def without_windows(window: int):
     return run
 
 
+@own_names
 def substring_dedup(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR
 ) -> DataFrame:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import ascii_lower
+from threadloom.llm.common import ascii_lower, own_names
 
 #: A rule is a few dozen bytes; the list is the caller's own and must stay below this.
 MOST_RULES = 1_000_000
@@ -79,6 +79,7 @@ def walk(root: Node, host: str, path: str) -> tuple[str, str] | None:
     return None
 
 
+@own_names
 def url_filters(
     pages: DataFrame, rules: Iterable[tuple[str, str, str]], url: str = "url", default: str = "allow", no_host: str = "block"
 ) -> DataFrame:
