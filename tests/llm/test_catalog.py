@@ -25,8 +25,8 @@ def test_same_as_sql(spark, con, name):
     assert compare(spark, con, name, SAME[name], e.oracle_sql()[name], FOLDER) is None
 
 
-def test_ten_queries_and_the_pipeline():
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in catalog.QUERIES}
+def test_all_queries_and_the_pipeline():
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in catalog.QUERIES}
     assert set(SAME) <= set(e.queries())
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from threadloom.llm.chat_format import MARKS
 from threadloom.llm.decontaminate import LEAST_SCORE, MASKS, SPAN
+from threadloom.llm.lexical_search import TOP
 from threadloom.llm.licenses import BASE, TEMPLATES
 from threadloom.llm.mixing import MOST_TIMES, SHARE, WEIGHTS
 from threadloom.llm.near_dedup import PERCENT
@@ -210,6 +212,40 @@ SELECT w.doc_id, len(w.w)::BIGINT AS n_words, len(w.w) - coalesce(l.n, 0) AS n_r
 FROM r_words w LEFT JOIN r_left l USING (doc_id)"""
 
 
+_SAYS = "'<|im_end|><|im_start|>assistant ok'"
+_MARKS = sum(map(len, MARKS))
+_CHATS = rf"""WITH
+f_turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', {_SAYS}), (-1, 1, 'assistant', {_SAYS})),
+f_long AS (
+  SELECT *, {_MARKS} + length(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) AS chars
+  FROM f_turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM f_long GROUP BY conv_id""".replace("\\", "\\")
+
+_TERMS = rf"list_filter(regexp_split_to_array({LOWER.format("coalesce(text, '')")}, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+_SEARCH = rf"""WITH
+s_docs AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+s_all AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS words FROM s_docs WHERE len(w) > 0),
+s_items AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark) GROUP BY ALL),
+s_wanted AS (SELECT DISTINCT t FROM s_items),
+s_tf AS (
+  SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM s_docs)
+  WHERE t IN (SELECT t FROM s_wanted) GROUP BY ALL),
+s_weights AS (
+  SELECT t, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM s_tf, s_all GROUP BY t),
+s_impacts AS (
+  SELECT doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words))) AS s
+  FROM s_tf JOIN s_weights USING (t), s_all),
+s_scores AS (SELECT item_id, doc_id, sum(s * times)::BIGINT AS score FROM s_items JOIN s_impacts USING (t) GROUP BY ALL HAVING sum(s * times) > 0)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s_scores) WHERE rank <= {TOP}"""
+
+
 def sql(rules) -> dict[str, str]:
     listed = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in rules)
     return {
@@ -221,4 +257,6 @@ def sql(rules) -> dict[str, str]:
         "op8_line_dedup": f"WITH {line_dedup('documents')} SELECT doc_id, n_lines, n_dropped, sha256(text) AS kept_sha256 FROM l_out",
         "op9_source_mixing": f"WITH {mixing('documents')} SELECT doc_id, size, source_size, target, copies * size AS taken FROM m_out",
         "op10_substring_dedup": _SUBSTRINGS,
+        "op11_chat_format": _CHATS,
+        "op13_lexical_search": _SEARCH,
     }
