@@ -170,17 +170,51 @@ def p6_replies(spark, d):
     return asked.select("msg_id", "is_picture", "prompt", limit)
 
 
-_TICKS = f"""{M}, f AS (SELECT *, coalesce(mention_id = {TEST.bot_id}, FALSE) AND length(content) > 22 AS direct
-    FROM m WHERE author_id <> {TEST.bot_id} AND NOT is_bot),
-  k AS (SELECT channel_id, ts_s * 1000 // 5500 AS tick, arg_max(msg_id, (ts_s, msg_id)) AS msg_id FROM f
-    GROUP BY 1, 2)"""
+# One transition of a channel's gate at a time: its next event, or what is due before it.
+_NEVER = 4_000_000_000_000
+GATE = f"""{M},
+e AS (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY tm, kind, msg_id) AS k FROM (
+  SELECT channel_id, msg_id, ts_s * 1000 AS tm, CASE WHEN author_id = {TEST.bot_id} THEN 0 ELSE 2 END AS kind,
+    coalesce(mention_id = {TEST.bot_id}, FALSE) AND length(content) > 22 AS direct, contains(lower(content), 'y') AS yes
+  FROM m WHERE author_id = {TEST.bot_id} OR NOT is_bot)),
+s AS (
+  SELECT DISTINCT channel_id, 0::BIGINT AS k, 0::BIGINT AS free_at, 0::BIGINT AS resume, 0::BIGINT AS streak,
+    NULL::BIGINT AS p_id, NULL::BOOLEAN AS p_yes, NULL::BIGINT AS p_at,
+    []::STRUCT(id BIGINT, yes BOOLEAN, direct BOOLEAN, tm BIGINT)[] AS w,
+    NULL::BIGINT AS o_at, NULL::BIGINT AS o_id, NULL::VARCHAR AS o_action FROM e
+  UNION ALL
+  SELECT channel_id, k + (what = 4)::BIGINT,
+    CASE WHEN a.direct THEN (a.tm // 5500 + 10) * 5500 WHEN what = 4 AND kind = 0 THEN least(free_at, e_at) ELSE free_at END,
+    CASE WHEN what = 3 THEN (due // 5500 + 1 + CASE WHEN p_yes OR streak >= 3 THEN 0 ELSE streak + 1 END) * 5500 ELSE resume END,
+    CASE WHEN what = 3 THEN CASE WHEN p_yes THEN 0 ELSE streak + 1 END ELSE streak END,
+    CASE WHEN what = 3 OR a.direct THEN NULL ELSE coalesce(a.id, p_id) END,
+    CASE WHEN what = 3 OR a.direct THEN NULL ELSE coalesce(a.yes, p_yes) END,
+    CASE WHEN what = 3 OR a.direct THEN NULL ELSE coalesce(a.tm, p_at) END,
+    CASE WHEN what < 2 THEN w[2:] WHEN what = 4 AND kind = 2 AND e_at < free_at
+      THEN list_append(w, {{'id': msg_id, 'yes': e_yes, 'direct': e_direct, 'tm': e_at}}) ELSE w END,
+    CASE WHEN a.direct THEN a.tm WHEN what = 3 AND p_yes THEN due END,
+    CASE WHEN a.direct THEN a.id WHEN what = 3 AND p_yes THEN p_id END,
+    CASE WHEN a.direct THEN 'direct_mention' WHEN what = 3 AND p_yes THEN 'verdict' END
+  FROM (
+    SELECT *, CASE WHEN what < 2 THEN {{'id': w[1].id, 'yes': w[1].yes, 'direct': w[1].direct, 'tm': due}}
+      WHEN what = 4 AND kind = 2 AND e_at >= free_at THEN {{'id': msg_id, 'yes': e_yes, 'direct': e_direct, 'tm': e_at}} END AS a
+    FROM (
+      SELECT *, least(d0, d1, d3) AS due, CASE WHEN least(d0, d1, d3) <= coalesce(e_at, {_NEVER} - 1)
+          THEN CASE least(d0, d1, d3) WHEN d0 THEN 0 WHEN d1 THEN 1 ELSE 3 END
+        WHEN e_at IS NOT NULL THEN 4 END AS what
+      FROM (
+        SELECT s.channel_id, s.k, free_at, resume, streak, p_id, p_yes, p_at, w, e.tm AS e_at, e.kind, e.msg_id,
+          e.direct AS e_direct, e.yes AS e_yes,
+          CASE WHEN len(w) > 0 THEN free_at ELSE {_NEVER} END AS d0,
+          CASE WHEN len(w) > 0 THEN w[1].tm + 45000 ELSE {_NEVER} END AS d1,
+          CASE WHEN p_id IS NULL THEN {_NEVER} ELSE greatest((p_at // 5500 + 1) * 5500, resume, (free_at + 5499) // 5500 * 5500) END AS d3
+        FROM s LEFT JOIN e ON e.channel_id = s.channel_id AND e.k = s.k + 1))
+    WHERE what IS NOT NULL))"""
 
 
 @query(
     "p6_reply_gate",
-    f"""WITH {_TICKS} SELECT channel_id, msg_id, 'direct_mention' AS reason FROM f WHERE direct
-    UNION ALL SELECT k.channel_id, k.msg_id, 'verdict' FROM k JOIN f USING (msg_id)
-    WHERE NOT direct AND contains(lower(f.content), 'y')""",
+    f"WITH RECURSIVE {GATE} SELECT channel_id, o_id AS msg_id, o_at AS \"at\", o_action AS reason FROM s WHERE o_id IS NOT NULL",
 )
 def p6_gate(spark, d):
     m = messages(spark, d)

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from threadloom.operators import gate, ordered
+from threadloom.operators import gate, ordered, waiting_room
 from threadloom.plans import catalog_chains as chained
 from threadloom.plans import catalog_chat as chat
 from threadloom.plans import oracle_parts as o
@@ -203,6 +203,36 @@ def st8(spark, d):
     return st.running_transcript(stream, run.out, run.state, run.checkpoint, 900).select("conv_id", "turn", "tail")
 
 
+@query(
+    "p6_stream_reply_gate",
+    f"WITH RECURSIVE {chained.GATE} SELECT channel_id, o_id AS msg_id, o_at AS \"at\", o_action AS reason FROM s WHERE o_id IS NOT NULL",
+)
+def p6_stream(spark, d):
+    """The gate over three micro-batches that cut each conversation; clock rows end the stream.
+
+    All conversations are replayed side by side, hours apart by their own clocks, so that the
+    watermark stays behind them all until the last row.
+    """
+    run = Scratch(spark)
+    m = messages(spark, d).withColumn("answer", F.col("content"))
+    rows = waiting_room.events(m, TEST)
+    second = F.unix_timestamp("ts") % 3600  # a conversation starts on the hour
+    parts = [second < 60, (second >= 60) & (second < 120), second >= 120]
+    files = write_parts([rows.where(p) for p in parts], run.events, "channel_id")
+    for years in (200, 201):  # what is due at the first comes out with the second
+        clock = rows.limit(0).unionByName(
+            spark.range(1).select(
+                F.lit(-1).cast("long").alias("channel_id"), F.lit(years * 31_536_000_000).alias("at"), F.lit(waiting_room.CLOCK).alias("kind"),
+                *[F.lit(None).cast(t).alias(c) for c, t in (("msg_id", "long"), ("direct", "boolean"), ("yes", "boolean"))],
+                F.timestamp_seconds(F.lit(years * 31_536_000)).alias("ts"),
+            )
+        )
+        clock.write.mode("append").parquet(run.events)
+    stream = readers.read_stream(spark, run.events, rows.schema, files_per_trigger=files)
+    found = runs.to_table(st.reply_gate(stream, TEST, "1200 months"), run.out, run.checkpoint)
+    return found.where("action <> 'asked'").select("channel_id", "msg_id", "at", F.col("action").alias("reason"))
+
+
 @query("st9_stream_moderate", f"WITH {chained.SANITIZED} SELECT msg_id, line FROM z")
 def st9(spark, d):
     run = Scratch(spark)

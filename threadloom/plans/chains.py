@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from threadloom.config import TOKEN_LIMITS, ChatConfig
 from threadloom.functions import jsonio
 from threadloom.functions import text as tx
-from threadloom.operators import gate, loops, moderation, pictures, resolve, tokens, transcript
+from threadloom.operators import loops, moderation, pictures, resolve, tokens, transcript, waiting_room
 
 
 def sanitize_live(
@@ -206,26 +206,27 @@ def token_pictures(token_rows: DataFrame, conf: ChatConfig) -> DataFrame:
     return masked.select("request_id", F.regexp_replace("keywords", "[^a-zA-Z,\\s]+", "").alias("keywords"))
 
 
-def reply_gate(messages: DataFrame, verdicts: DataFrame, conf: ChatConfig) -> DataFrame:
-    """Messages to answer, and why.
-
-    A direct mention is answered at once.  The newest message of each channel and
-    tick, unless it is one, is put to a model (``verdicts``: msg_id, answer) and
-    answered on a yes.
+def reply_gate(
+    messages: DataFrame,
+    verdicts: DataFrame | None,
+    conf: ChatConfig,
+    replies: DataFrame | None = None,
+    cap_holds: bool = False,
+) -> DataFrame:
+    """Messages to answer, when, and why: channel_id, msg_id, at (milliseconds), reason.
+
+    A direct mention is answered at once and locks the channel until a reply, for ten
+    ticks at most.  The newest message of a tick, unless it is one, is put to a model and
+    answered on a yes; after a no the next checks wait.  Messages wait for the lock for 45
+    seconds at most.  ``verdicts`` (msg_id, answer) are known beforehand, or, with
+    channel_id and ts, come when they do.  Replies are the bot's own messages and
+    ``replies`` (channel_id, ts).
     """
-    others = gate.with_answerable(gate.drop_self(messages, conf.bot_id)).where("answerable")
-    flagged = others.withColumn(
-        "direct",
-        gate.direct_mention(
-            F.col("mentioned_ids"), F.col("content"), conf.bot_id, conf.direct_mention_min_length
-        ),
-    )
-    direct = flagged.where("direct").select("channel_id", "msg_id", F.lit("direct_mention").alias("reason"))
-    # The newest message of a tick takes the place of those before it, also if it is a
-    # direct mention, which has been dealt with.
-    newest = gate.latest_per_tick(flagged, more=("direct",)).where(~F.col("direct"))
-    judged = newest.join(verdicts, "msg_id").where(jsonio.affirmative(tx.trim_all(F.col("answer"))))
-    return direct.unionByName(judged.select("channel_id", "msg_id", F.lit("verdict").alias("reason")))
+    timed = verdicts is not None and "ts" in verdicts.columns
+    if verdicts is not None and not timed:
+        messages = messages.join(verdicts.select("msg_id", "answer"), "msg_id", "left")
+    found = waiting_room.answers(waiting_room.events(messages, conf, verdicts if timed else None, replies), conf, cap_holds)
+    return found.where("action <> 'asked'").select("channel_id", "msg_id", "at", F.col("action").alias("reason"))
 
 
 def moderated_transcript(conversations: DataFrame, conf: ChatConfig) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from threadloom import config as cfg
 from threadloom.config import ChatConfig
 from threadloom.functions import jsonio
-from threadloom.operators import gate, resolve, tokens
+from threadloom.operators import gate, resolve, tokens, waiting_room
 from threadloom.operators.transcript import char_budget_suffix
 from threadloom.plans.chains import sanitize_live
 from threadloom.streaming import runs
@@ -132,6 +132,34 @@ def member_names_table(stream: DataFrame, path: str, checkpoint: str) -> DataFra
     return rows.groupBy("member_id").agg(F.max_by("name", "epoch").alias("name"))
 
 
+def reply_gate(events: DataFrame, conf: ChatConfig, delay: str = "1 minute", cap_holds: bool = False) -> DataFrame:
+    """(channel_id, at, msg_id, action): the whole gate, by the machine of the batch form.
+
+    ``events`` is a stream of ``waiting_room.events``.  What is due without further input (a
+    check, the end of a lock or of a wait) happens once the watermark has passed it; rows
+    later than the watermark are dropped.  Rows of one channel in one micro-batch are taken
+    in order of time, so that a backlog should come in several (``maxFilesPerTrigger``).
+    """
+    rules = waiting_room.rules_of(conf, cap_holds)
+
+    def follow(key, batches: Iterator[pd.DataFrame], state: GroupState):
+        channel = waiting_room.Channel(rules, state.get[0] if state.exists else None)
+        if state.hasTimedOut:
+            channel.advance(state.getCurrentWatermarkMs())
+        else:
+            rows = pd.concat(list(batches)).sort_values(["at", "kind", "msg_id"], kind="stable")
+            for at, kind, msg_id, direct, yes in zip(rows["at"], rows["kind"], rows["msg_id"], rows["direct"], rows["yes"]):
+                channel.hear(int(at), int(kind), *(None if pd.isna(v) else f(v) for f, v in ((int, msg_id), (bool, direct), (bool, yes))))
+        state.update((channel.state(),))
+        if due := channel.next():
+            state.setTimeoutTimestamp(max(due[0], state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(key[0], *row) for row in channel.take()], columns=["channel_id", "at", "msg_id", "action"])
+
+    return events.withWatermark("ts", delay).groupBy("channel_id").applyInPandasWithState(
+        follow, waiting_room.ANSWERS, "state string", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
 # --- tokens ---------------------------------------------------------------------------------
 
 
