@@ -7,26 +7,65 @@ import pytest
 from compare import compare, oracle_connection
 from pyspark.sql import functions as F
 
-from threadloom.operators import transcript
+from threadloom import ChatConfig
+from threadloom.operators import gate, transcript
 from threadloom.plans import catalog, catalog_stream
 from threadloom.sources import readers
 from threadloom.streaming import operators as st
+from threadloom.streaming import runs
 
 
-def test_running_transcript_with_compaction(spark, tmp_path):
+def files_of(df, source, parts):
+    """A file for each part, to be read one after another."""
+    for part in parts:
+        df.where(part).coalesce(1).write.mode("append").parquet(source)
+    return readers.read_stream(df.sparkSession, source, df.schema, files_per_trigger=1)
+
+
+def state_rows(spark, checkpoint):
+    return spark.read.format("statestore").load(checkpoint).count()
+
+
+@pytest.mark.parametrize("budget", [40, 900])
+def test_running_transcript_across_batches(spark, tmp_path, budget):
     rng = random.Random(6)
     sizes = {1: 90, 2: 12, 3: 1}
-    rows = [(k, i, "x" * rng.choice([0, 2, 9]) + str(i)) for k, n in sizes.items() for i in range(n)]
+    rows = [(k, i, "x" * rng.choice([0, 2, 9, 70]) + str(i)) for k, n in sizes.items() for i in range(n)]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, line string")
-    source = str(tmp_path / "in")
-    for lo in range(0, 90, 15):
-        df.where(f"turn >= {lo} AND turn < {lo + 15}").coalesce(1).write.mode("append").parquet(source)
-    stream = readers.read_stream(spark, source, df.schema, files_per_trigger=1)
-    paths = [str(tmp_path / x) for x in ("out", "state", "cp")]
-    got = st.running_transcript(stream, *paths, budget=40, block_rows=50, compact_every=2)
-    want = transcript.char_budget_suffix(df, "conv_id", "turn", "line", 40)
+    stream = files_of(df, str(tmp_path / "in"), [f"turn >= {lo} AND turn < {lo + 30}" for lo in (0, 30, 60)])
+    got = runs.to_table(st.running_transcript(stream, budget), str(tmp_path / "out"), str(tmp_path / "cp"))
+    want = transcript.char_budget_suffix(df, "conv_id", "turn", "line", budget)
     key = ["conv_id", "turn", "tail"]
     assert sorted(map(tuple, got.select(key).collect())) == sorted(map(tuple, want.select(key).collect()))
+    assert state_rows(spark, str(tmp_path / "cp")) == len(sizes)
+
+
+def test_ticks_with_late_rows_and_open_ticks(spark, tmp_path):
+    """Rows that come files later mend their tick; the last ticks are there without a later row."""
+    rng = random.Random(2)
+    rows = [(rng.randrange(3), i, rng.randrange(200), f"m{i}", rng.randrange(4)) for i in range(400)]
+    df = spark.createDataFrame(rows, "channel_id bigint, msg_id bigint, s bigint, content string, part int").withColumn("ts", F.timestamp_seconds("s"))
+    stream = files_of(df, str(tmp_path / "in"), [f"part = {i}" for i in range(4)])
+    columns = ["channel_id", "tick_start", "msg_id", "content", "n_messages"]
+    got = st.ticks_table(stream, str(tmp_path / "out"), str(tmp_path / "cp"), delay="5 minutes").select(columns)
+    want = gate.latest_per_tick(df).select(columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_token_state_ends(spark, tmp_path):
+    """A request is given up, finished ones leave a mark that swallows late tokens, and both go in the end."""
+    conf = ChatConfig(bot_name="Bot")
+    token = lambda r, q, s, w, part: (r, q, s, '{"response":"' + w + '","done":"0"}', part)
+    rows = [
+        token(1, 0, 0, "### Response:\\n[Bot]:", 0), token(1, 1, 1, "well done ", 0), token(1, 2, 2, "\\n# next", 0), token(1, 3, 3, "late", 1),
+        token(2, 0, 0, "### Response:\\n[Bot]:", 0), token(2, 1, 1, "half", 0), token(2, 2, 995, "after", 3),
+        token(3, 0, 0, "no header", 0), token(9, 0, 1000, "x", 1), token(9, 1, 1001, "x", 2), token(9, 2, 4000, "x", 3), token(9, 3, 8000, "x", 4), token(9, 4, 8001, "x", 5),
+    ]
+    df = spark.createDataFrame(rows, "request_id bigint, seq bigint, s bigint, raw string, part int").withColumn("ts", F.timestamp_seconds(F.col("s") + 100)).drop("s")
+    stream = files_of(df, str(tmp_path / "in"), [f"part = {i}" for i in range(6)])
+    got = runs.to_table(st.assemble_tokens(stream, conf.reply_header, conf), str(tmp_path / "out"), str(tmp_path / "cp")).where("request_id <> 9")
+    assert {tuple(r) for r in got.collect()} == {(1, "finished", "well done  next"), (2, "timed_out", "half"), (3, "timed_out", None)}
+    assert state_rows(spark, str(tmp_path / "cp")) <= 1  # that of the clock, request 9
 
 
 def test_backfill_once_per_channel(spark, tmp_path):
@@ -51,8 +90,6 @@ def test_cooldown_and_backoff_across_batches(spark, tmp_path):
     for part in ("tick < 6", "tick >= 6"):
         df.where(part).coalesce(1).write.mode("append").parquet(source)
     stream = readers.read_stream(spark, source, df.schema, files_per_trigger=1)
-    from threadloom.streaming import runs
-
     got = runs.to_table(st.cooldown(stream, 10), str(tmp_path / "o1"), str(tmp_path / "c1"))
     assert {r.tick: r.accepted for r in got.collect()} == {1: True, 5: False, 11: True, 12: False, 21: True, 40: True}
     checks = stream.select("channel_id", F.col("tick").alias("pos"), F.when(F.col("tick") == 21, "Yes").otherwise("No").alias("answer"))

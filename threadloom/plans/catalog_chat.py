@@ -55,19 +55,30 @@ def s3(spark, d):
     "UNION ALL SELECT 'channel', channel_id, name FROM channels",
 )
 def s4(spark, d):
-    users = derived.users(spark, d).select(F.lit("user").alias("kind"), F.col("user_id").alias("id"), F.col("username").alias("name"))
-    rooms = derived.channels(spark, d).select(F.lit("channel").alias("kind"), F.col("channel_id").alias("id"), "name")
+    path = f"{ordered.shared_folder(spark)}/dims-{ordered.uuid.uuid4().hex}"
+    derived.users(spark, d).write.parquet(f"{path}/users")
+    derived.channels(spark, d).write.parquet(f"{path}/channels")
+    users, rooms = readers.read_dims(spark, f"{path}/users", f"{path}/channels")
+    users = users.select(F.lit("user").alias("kind"), F.col("user_id").alias("id"), F.col("username").alias("name"))
+    rooms = rooms.select(F.lit("channel").alias("kind"), F.col("channel_id").alias("id"), "name")
     return users.unionByName(rooms)
 
 
 @query(
     "s5_read_responses",
-    f"WITH {M} SELECT msg_id AS request_id, (conv_id + turn) % 5 = 4 AS is_empty FROM m",
+    f"""WITH {M}, b AS (SELECT msg_id AS request_id, (conv_id + turn) % 5 AS shape, content FROM m)
+    SELECT request_id, shape = 4 AS is_empty, CASE WHEN shape < 2 THEN content END AS said,
+      CASE WHEN shape IN (2, 3) THEN length(CASE shape WHEN 2 THEN '{{"promptFeedback":{{"blockReason":"SAFETY"}}}}' ELSE '{{"error":{{"code":429}}}}' END)
+      END AS n_chars FROM b""",
 )
 def s5(spark, d):
     path = f"{ordered.shared_folder(spark)}/responses-{ordered.uuid.uuid4().hex}"
     derived.responses(spark, d).write.json(path)
-    return readers.read_responses(spark, path).select("request_id", (F.col("body") == "").alias("is_empty"))
+    text = F.coalesce(F.get_json_object("body", "$.choices[0].text"), F.get_json_object("body", "$.candidates[0].content.parts[0].text"))
+    return readers.read_responses(spark, path).select(
+        "request_id", (F.col("body") == "").alias("is_empty"), text.alias("said"),
+        F.when(text.isNull() & (F.col("body") != ""), F.length("body")).alias("n_chars"),
+    )
 
 
 @query(
@@ -106,27 +117,28 @@ def s9(spark, d):
 
 @query(
     "s10_write_requests",
-    f"WITH {M} SELECT count(*) AS documents, sum(length(content)) AS characters FROM m",
+    f"WITH {M} SELECT md5(content) AS prompt, count(*) AS documents, 280 * count(*) AS tokens FROM m GROUP BY 1",
 )
 def s10(spark, d):
     path = f"{ordered.shared_folder(spark)}/requests-{ordered.uuid.uuid4().hex}"
     requests = messages(spark, d).select(jsonio.completion_request(F.col("content"), 280).alias("request"))
     sinks.write_requests(requests, path)
-    prompts = spark.read.text(path).select(F.get_json_object("value", "$.prompt").alias("p"))
-    return prompts.agg(F.count("p").alias("documents"), F.sum(F.length("p")).alias("characters"))
+    field = lambda name: F.get_json_object("value", f"$.{name}")
+    written = spark.read.text(path).select(F.md5(field("prompt")).alias("prompt"), field("max_tokens").cast("long").alias("n"))
+    return written.groupBy("prompt").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("tokens"))
 
 
 @query(
     "s12_image_result_sink",
-    f"WITH {M} SELECT turn % 2 = 0 AS selfie, 2 * count(*) AS n, sum(octet_length(encode(content)) + "
-    "octet_length(encode(role))) AS n_bytes FROM m GROUP BY 1",
+    f"""WITH {M}, i AS (SELECT turn % 2 = 0 AS selfie, content AS x FROM m UNION ALL SELECT turn % 2 = 0, role FROM m)
+    SELECT selfie, md5(x) AS digest, count(*) AS n, sum(octet_length(encode(x))) AS n_bytes FROM i GROUP BY 1, 2""",
 )
 def s12(spark, d):
     path = f"{ordered.shared_folder(spark)}/images-{ordered.uuid.uuid4().hex}"
     bodies = image_bodies(spark, d).withColumn("images", jsonio.image_list(F.col("body"))).drop("body")
     sinks.write_images(sinks.image_rows(bodies), path)
     stored = spark.read.parquet(path)
-    return stored.groupBy(F.col("selfie").cast("boolean").alias("selfie")).agg(
+    return stored.groupBy(F.col("selfie").cast("boolean").alias("selfie"), F.md5("content").alias("digest")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("content")).alias("n_bytes")
     )
 
@@ -237,13 +249,11 @@ def f11(spark, d):
 
 @query(
     "j1_resolve_author",
-    f"""WITH {M}, {o.USERS} SELECT msg_id, coalesce(display_name, nickname, username) AS author_name
-    FROM m JOIN users ON user_id = author_id WHERE author_id % 5 <> 0
-    UNION ALL SELECT msg_id, role FROM m WHERE author_id % 5 = 0""",
+    f"""WITH {M}, {o.USERS} SELECT msg_id, coalesce(display_name, nickname, username, role) AS author_name
+    FROM m LEFT JOIN users ON user_id = author_id""",
 )
 def j1(spark, d):
-    known = derived.users(spark, d).where(F.col("user_id") % 5 != 0)
-    return resolve.resolve_author(messages(spark, d), known, F.col("role")).select("msg_id", "author_name")
+    return resolve.resolve_author(messages(spark, d), derived.users(spark, d), F.col("role")).select("msg_id", "author_name")
 
 
 _TAGS = f"""{M}, {o.USERS}, {o.CHANNELS},

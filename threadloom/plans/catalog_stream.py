@@ -39,9 +39,20 @@ def event_stream(spark, d):
     return chat.event_messages(table_stream(spark, d, "events"))
 
 
+def until_the_end(spark, stream, path, **values):
+    """``stream`` and a last row long after all others, by which the watermark passes them."""
+    end = F.timestamp_seconds(F.lit(200 * 31_536_000)).alias("ts")
+    last = spark.range(1).select(
+        *[end if f.name == "ts" else F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in stream.schema]
+    )
+    last.write.parquet(path)
+    return stream.unionByName(readers.read_stream(spark, path, stream.schema))
+
+
 def tick_table(spark, stream, run, width=gate.TICK):
     """The newest message per channel and tick, by way of a table, as a stream again."""
-    done = runs.to_table(st.latest_per_tick(stream, "0 seconds", width), run.ticks, run.tick_checkpoint)
+    whole = until_the_end(spark, stream, run.end)
+    done = runs.to_table(st.latest_per_tick(whole, width=width), run.ticks, run.tick_checkpoint)
     return readers.read_stream(spark, run.ticks, done.schema)
 
 
@@ -54,42 +65,42 @@ def write_parts(parts, path, key):
     return max(len(files), 1)
 
 
-# A tick is over once the newest event (in whole milliseconds) lies beyond its end.
-def _closed(width_us: int) -> str:
-    return f"(tick + 1) * {width_us} <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events)"
-
-
 @query(
     "s2_read_messages_stream",
-    "SELECT conv_id, turn, role, text FROM conversations",
+    f"WITH {M} SELECT msg_id, channel_id, is_bot, content FROM m",
 )
 def s2(spark, d):
     run = Scratch(spark)
-    stream = table_stream(spark, d, "conversations").select("conv_id", "turn", "role", "text")
-    return runs.to_table(stream, run.out, run.checkpoint)
+    rows = readers.conform(messages(spark, d), readers.MESSAGE_SCHEMA)
+    rows.repartition("channel_id").write.parquet(run.messages)
+    stream = readers.read_messages_stream(spark, run.messages, files_per_trigger=4)
+    return runs.to_table(stream.select("msg_id", "channel_id", "is_bot", "content"), run.out, run.checkpoint)
 
 
 @query(
     "s6_read_tokens_stream",
-    f"WITH {M} SELECT msg_id AS request_id, len(string_split(content, ' ')) + 5 AS n FROM m",
+    f"""WITH {M}, w AS (SELECT msg_id AS request_id, ['noise ', '### ', 'Response:', {o.lit(chr(92) + "n[Bot]")}, ':'] ||
+      list_transform(string_split(replace(content, chr(10), {o.lit(chr(92) + "n")}), ' '), lambda x: x || ' ') AS w FROM m)
+    SELECT request_id, seq, '{{"response":"' || word || '","done":"0"}}' AS raw
+    FROM (SELECT request_id, unnest(range(0, len(w))) AS seq, unnest(w) AS word FROM w)""",
 )
 def s6(spark, d):
     run = Scratch(spark)
     derived.tokens(spark, d).write.parquet(run.tokens)
-    stream = readers.read_tokens_stream(spark, run.tokens).select("request_id", "seq")
-    return runs.to_table(stream, run.out, run.checkpoint).groupBy("request_id").agg(F.count("seq").alias("n"))
+    stream = readers.read_tokens_stream(spark, run.tokens).select("request_id", "seq", "raw")
+    return runs.to_table(stream, run.out, run.checkpoint)
 
 
 @query(
     "st1_stream_latest_per_tick",
     f"""WITH t AS (SELECT user_id AS channel_id, epoch_us(ts) // 1800000000 AS tick, arg_max(event_id, (ts, event_id))
-      AS msg_id, count(*) AS n_messages FROM events GROUP BY 1, 2) SELECT * FROM t WHERE {_closed(1800000000)}""",
+      AS msg_id, count(*) AS n_messages FROM events GROUP BY 1, 2) SELECT * FROM t""",
 )
 def st1(spark, d):
     run = Scratch(spark)
-    ticks = st.latest_per_tick(event_stream(spark, d), "0 seconds", "30 minutes")
+    ticks = st.ticks_table(event_stream(spark, d), run.out, run.checkpoint, width="30 minutes")
     tick = F.call_function("div", F.unix_millis("tick_start"), F.lit(1800000))
-    return runs.to_table(ticks.select("channel_id", tick.alias("tick"), "msg_id", "n_messages"), run.out, run.checkpoint)
+    return ticks.select("channel_id", tick.alias("tick"), "msg_id", "n_messages")
 
 
 @query(
@@ -97,7 +108,7 @@ def st1(spark, d):
     f"""WITH t AS (SELECT user_id AS channel_id, epoch_us(ts) // 1800000000 AS tick,
       arg_max(event_type, (ts, event_id)) AS kind FROM events GROUP BY 1, 2),
     p AS (SELECT channel_id, tick, kind IN ('purchase', 'click') AS positive, row_number() OVER
-      (PARTITION BY channel_id ORDER BY tick) AS k FROM t WHERE {_closed(1800000000)}),
+      (PARTITION BY channel_id ORDER BY tick) AS k FROM t),
     s AS (SELECT *, k - coalesce(max(CASE WHEN positive THEN k END) OVER (PARTITION BY channel_id ORDER BY tick), 0)
       AS streak FROM p)
     SELECT channel_id, tick, positive, streak, CASE WHEN streak <= 3 THEN streak ELSE 0 END AS wait FROM s""",
@@ -114,8 +125,7 @@ def st2(spark, d):
 @query(
     "st3_stream_cooldown",
     f"""WITH RECURSIVE t AS (SELECT user_id % 3 AS channel_id, epoch_us(ts) // 5500000 AS tick
-      FROM events WHERE (epoch_us(ts) // 5500000 + 1) * 5500000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events)
-      GROUP BY 1, 2),
+      FROM events GROUP BY 1, 2),
     a AS (SELECT channel_id, min(tick) AS tick FROM t GROUP BY channel_id
       UNION ALL SELECT * FROM (SELECT a.channel_id, (SELECT min(t.tick) FROM t WHERE t.channel_id = a.channel_id
         AND t.tick >= a.tick + 40) AS tick FROM a) WHERE tick IS NOT NULL)
@@ -200,7 +210,7 @@ def st8(spark, d):
     rows = chat.lines(spark, d).select("conv_id", "turn", "line")
     files = write_parts(map(rows.where, ("turn < 2", "turn BETWEEN 2 AND 4", "turn > 4")), run.lines, "conv_id")
     stream = readers.read_stream(spark, run.lines, rows.schema, files_per_trigger=files)
-    return st.running_transcript(stream, run.out, run.state, run.checkpoint, 900).select("conv_id", "turn", "tail")
+    return runs.to_table(st.running_transcript(stream, 900), run.out, run.checkpoint)
 
 
 @query(
@@ -258,13 +268,15 @@ def st10(spark, d):
     f AS (SELECT request_id, i, {o.sub('text', o.END, '', 'gi')} AS reply FROM u WHERE length(text) > 2
       AND (length(text) > 500 OR regexp_matches(text, {o.lit('(?i)' + o.END)})) OR (i + 5) * 1000 > 38500),
     r AS (SELECT request_id, arg_min(reply, i) AS reply FROM f WHERE length(reply) > 0 GROUP BY request_id)
-    SELECT request_id, 'finished' AS status, reply FROM r""",
+    SELECT request_id, 'finished' AS status, reply FROM r
+    UNION ALL SELECT request_id, 'timed_out', {o.sub('arg_max(text, i)', o.END, '', 'gi')} FROM u
+    WHERE request_id NOT IN (SELECT request_id FROM r) GROUP BY request_id""",
 )
 def st11(spark, d):
-    """One token a second: a reply of more than seven ticks is ended."""
+    """One token a second: a reply of more than seven ticks is ended, one that stays short given up."""
     run = Scratch(spark)
     tokens = derived.tokens(spark, d).withColumn("ts", F.timestamp_seconds(F.col("seq") + 1704067200))
     write_parts([tokens], run.tokens, "request_id")
     stream = readers.read_tokens_stream(spark, run.tokens)
-    replies = st.assemble_tokens(stream, TEST.reply_header, TEST, delay="0 seconds")
-    return runs.to_table(replies, run.out, run.checkpoint).where("status = 'finished'")
+    whole = until_the_end(spark, stream, run.end, request_id=-1, seq=0, raw='{"response":"x","done":"0"}')
+    return runs.to_table(st.assemble_tokens(whole, TEST.reply_header, TEST), run.out, run.checkpoint)

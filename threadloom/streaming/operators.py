@@ -21,7 +21,6 @@ from threadloom import config as cfg
 from threadloom.config import ChatConfig
 from threadloom.functions import jsonio
 from threadloom.operators import gate, resolve, tokens, waiting_room
-from threadloom.operators.transcript import char_budget_suffix
 from threadloom.plans.chains import sanitize_live
 from threadloom.streaming import runs
 
@@ -33,6 +32,21 @@ def latest_per_tick(stream: DataFrame, delay: str = "10 seconds", width: str = g
     return gate.latest_per_tick(stream.withWatermark("ts", delay), width)
 
 
+def ticks_table(
+    stream: DataFrame, path: str, checkpoint: str, delay: str = "10 seconds", width: str = gate.TICK
+) -> DataFrame:
+    """The newest message of each channel and tick, the ticks still open among them.
+
+    A micro-batch writes the ticks that it has changed, and overwrites its own folder when
+    it is repeated; of a channel and tick the row of the latest micro-batch counts.  Rows
+    that come late, but within ``delay``, thus mend their tick; the table is whole at any time.
+    """
+    runs.in_batches(latest_per_tick(stream, delay, width), lambda batch, epoch: batch, path, checkpoint, "update")
+    rows = stream.sparkSession.read.option("basePath", path).parquet(path)
+    newest = F.max_by(F.struct("msg_id", "content", "n_messages"), "epoch").alias("_row")
+    return rows.groupBy("channel_id", "tick_start").agg(newest).select("channel_id", "tick_start", "_row.*")
+
+
 def dedup(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Each message once, also when backfill and live feed both deliver it."""
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["msg_id"])
@@ -170,8 +184,11 @@ def assemble_tokens(
 
     State is the text since the header (or the end of what came before it).  With a
     ``ts`` column, a token more than the typing timeout after the first one ends
-    the reply however short it is, and a request is given up when the stream has
-    moved on by that time without a token for it.
+    the reply however short it is, and a request is given up (``timed_out``, with the text so
+    far) when the stream has moved on by that time without a token for it.  A finished or
+    given-up request leaves a mark that swallows its late tokens; the mark goes once the
+    watermark is beyond them, when Spark itself drops what is later.  Without ``ts`` there is
+    no such time, and marks of finished requests stay.
     """
     has_ts = "ts" in stream.columns
     timed = stream.withWatermark("ts", delay) if has_ts else stream.withColumn("ts", F.lit(None).cast("timestamp"))
@@ -186,8 +203,13 @@ def assemble_tokens(
 
     def follow(key, batches: Iterator[pd.DataFrame], state: GroupState):
         if state.hasTimedOut:
-            phase, text, _ = state.get
-            state.remove()
+            phase, text, first = state.get
+            if phase == 2:
+                state.remove()
+                return
+            # Given up; tokens that are late but not yet dropped find the mark.
+            state.update((2, "", first))
+            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + wait)
             yield pd.DataFrame({"request_id": [key[0]], "status": ["timed_out"], "text": [text if phase == 1 else None]})
             return
         phase, text, first = state.get if state.exists else (0, "", None)
@@ -210,7 +232,7 @@ def assemble_tokens(
                 if (ended or late) and marker.sub("", text):
                     done, phase, text = text, 2, ""
         state.update((phase, text, first))
-        if phase < 2 and now is not None:
+        if has_ts:
             state.setTimeoutTimestamp(max(now + wait, state.getCurrentWatermarkMs() + 1))
         if done is not None:
             yield pd.DataFrame({"request_id": [key[0]], "status": ["finished"], "text": [done]})
@@ -262,47 +284,27 @@ def backfill_then_live(
     return spark.read.schema(schema).option("basePath", path).parquet(path)
 
 
-def running_transcript(
-    stream: DataFrame, path: str, state_path: str, checkpoint: str, budget: int = 500,
-    block_rows: int = 100_000, compact_every: int = 20,
-) -> DataFrame:
+def running_transcript(stream: DataFrame, budget: int = 500) -> DataFrame:
     """The last ``budget`` characters of the transcript after each line.
 
-    ``stream`` has conv_id, turn, line, and turns arrive in order.  State is one
-    tail per conversation.  An epoch writes the tails it has changed, and every
-    so often all of them, so that few epochs need reading.
+    ``stream`` has conv_id, turn, line, and turns arrive in order.  Spark's keyed state holds
+    one tail of at most ``budget`` characters per conversation.  A task takes the lines
+    of a conversation that one micro-batch brings, and keeps of each no more than the
+    budget, so that the size of a micro-batch (``maxFilesPerTrigger``) bounds its memory.
     """
-    spark = stream.sparkSession
-    state_schema = T.StructType(
-        [T.StructField("conv_id", T.LongType()), T.StructField("tail", T.StringType())]
-    )
-
-    def latest(epoch: int) -> DataFrame:
-        base = (epoch - 1) // compact_every * compact_every
-        rows = runs.read_epochs(spark, state_path, T.StructType(state_schema.fields), base, epoch)
-        return rows.groupBy("conv_id").agg(F.max_by("tail", "epoch").alias("tail"))
+    # A line longer than the budget counts by its end only, before it goes to its task.
+    short = stream.select("conv_id", "turn", F.right(F.coalesce("line", F.lit("")), F.lit(budget)).alias("line"))
 
-    def work(batch: DataFrame, epoch: int) -> DataFrame:
-        lines = batch.select("conv_id", "turn", "line")
-        if epoch > 0:
-            # The carried tail takes part as a line just before the first new one.
-            first = lines.groupBy("conv_id").agg((F.min("turn") - 1).alias("turn"))
-            carried = latest(epoch).join(first, "conv_id").select(
-                "conv_id", "turn", F.expr("left(tail, length(tail) - 1)").alias("line")
-            )
-            lines = lines.withColumn("_new", F.lit(True)).unionByName(carried.withColumn("_new", F.lit(False)))
-        else:
-            lines = lines.withColumn("_new", F.lit(True))
-        tails = char_budget_suffix(lines, "conv_id", "turn", "line", budget, block_rows)
-        rows = tails.where("_new").select("conv_id", "turn", "tail")
-        out = runs.epoch_path(path, epoch)
-        rows.write.mode("overwrite").parquet(out)
-        written = spark.read.parquet(out)
-        changed = written.groupBy("conv_id").agg(F.max_by("tail", "turn").alias("tail"))
-        if epoch > 0 and epoch % compact_every == 0:
-            kept = latest(epoch).join(changed, "conv_id", "left_anti")
-            changed = kept.unionByName(changed)
-        return changed
-
-    runs.in_batches(stream, work, state_path, checkpoint)
-    return spark.read.option("basePath", path).parquet(path)
+    def follow(key, batches: Iterator[pd.DataFrame], state: GroupState):
+        tail = state.get[0] if state.exists else ""
+        rows = pd.concat(list(batches)).sort_values("turn", kind="stable")
+        tails = []
+        for line in rows["line"]:
+            tail = (tail + line + "\n")[-budget:]
+            tails.append(tail)
+        state.update((tail,))
+        yield rows[["conv_id", "turn"]].assign(tail=tails)
+
+    return short.groupBy("conv_id").applyInPandasWithState(
+        follow, "conv_id bigint, turn bigint, tail string", "tail string", "append", GroupStateTimeout.NoTimeout
+    )
