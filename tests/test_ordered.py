@@ -111,3 +111,43 @@ def test_tail_and_edges_of_a_long_conversation(spark):
     kept = transcript.without_edges(df, "k", "pos", "line", first=2, last=1).orderBy("k", "segment").collect()
     assert "\n".join(r.transcript for r in kept if r.k == 1) == "\n".join(said[2:-1])
     assert [r.transcript for r in kept if r.k > 1] == [None, None, None]
+
+
+GAPS = [0, 1, 2, 7, 8, 9, 50, 51, 400]
+
+
+@pytest.mark.parametrize("block", [1, 4, 64, 10_000])
+def test_lines_and_memory_of_messages_with_notes_and_gaps(spark, block):
+    rng = random.Random(3)
+    positions = {1: GAPS, 2: range(0, 3000, 3), 3: [5], 4: range(3000)}
+    rows = [(k, p, None if rng.random() < 0.05 else "\n".join("x" * rng.choice([0, 3, 40]) + str(p) for _ in range(rng.choice([1, 1, 2, 12])))) for k, ps in positions.items() for p in ps]
+    df = spark.createDataFrame(rows, "k bigint, pos bigint, line string").repartition(3)
+    recent = {(r.k, r.pos): r.recent for r in transcript.last_text_lines(df, "k", "pos", "line", 5, block).collect()}
+    memory = {(r.k, r.pos): r.memory for r in transcript.memory_text(df, "k", "pos", "line", 90, block).collect()}
+    assert len(recent) == len(memory) == len(rows)
+    for key, group in by_key(rows).items():
+        so_far = ""
+        for _, pos, line in group:
+            so_far += (line or "") + "\n"
+            assert recent[key, pos] == so_far[:-1].split("\n")[-5:]
+            assert memory[key, pos] == so_far[-90:]
+
+
+def test_last_lines_over_a_gap(spark):
+    df = spark.createDataFrame([(1, p, f"x{p}") for p in GAPS[:6]], "k bigint, pos bigint, line string")
+    got = {r.pos: r.recent for r in transcript.last_text_lines(df, "k", "pos", "line", 3, 4).collect()}
+    assert got[7] == ["x1", "x2", "x7"] and got[8] == ["x2", "x7", "x8"]
+
+
+def test_picture_request_is_read_without_the_note(spark):
+    from threadloom import ChatConfig
+    from threadloom.plans import chains
+
+    rows = [(1, 1, 0, 7, "see this?", "[A]: do you see this", "\n[System]: A attached an image"), (2, 1, 1, 7, "x", "[A]: take a picture of you", "")]
+    df = spark.createDataFrame(rows, "msg_id bigint, conv_id bigint, turn bigint, author_id bigint, content string, filtered string, note string")
+    df = df.withColumn("line", F.concat("filtered", "note")).withColumn("ref_msg_id", F.lit(None).cast("bigint"))
+    users = spark.createDataFrame([(7, "A")], "user_id bigint, username string")
+    got = {r.msg_id: r for r in chains.reply_requests(df, users, ChatConfig(), filtered="filtered").collect()}
+    assert not got[1].is_picture and "attached an image" in got[1].prompt and got[2].is_picture
+    asked = {r.msg_id: r.prompt for r in chains.verdict_requests(df, users, ChatConfig(), filtered="filtered").collect()}
+    assert "[A]: do you see this\n[System]: A attached an image\n[A]: take a picture of you\n" in asked[2]

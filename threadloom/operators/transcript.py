@@ -92,6 +92,60 @@ def _within_budget(
     return measured.withColumn("_lines", F.collect_list(line).over(reach))
 
 
+def _with_carry(rows: DataFrame, key: str, pos: str, running: str, reach: int, merge, out: str) -> DataFrame:
+    """Add what the blocks before a row's own end with.
+
+    ``running`` is a value of each row within its block; the last one of a block stands for
+    the block.  ``merge`` makes one value of those of up to ``reach`` blocks before, in
+    order, whatever positions or blocks are missing in between.  Only the blocks' last values
+    are shuffled by conversation, and conversations of one block have none to join.
+    """
+    ends = rows.groupBy(key, BLOCK).agg(F.max_by(running, pos).alias("_end"))
+    earlier = Window.partitionBy(key).orderBy(BLOCK).rowsBetween(-reach, -1)
+    carry = ends.withColumn("_before", F.collect_list("_end").over(earlier)).where(F.size("_before") > 0)
+    return rows.join(carry.select(key, BLOCK, merge(F.col("_before")).alias(out)), [key, BLOCK], "left")
+
+
+def _last(lines: Column, n: int) -> Column:
+    return F.slice(lines, F.greatest(F.size(lines) - n, F.lit(0)) + 1, F.lit(n))
+
+
+def last_text_lines(
+    df: DataFrame, key: str, pos: str, text: str, n: int = 9, block_rows: int = 100_000, out: str = "recent"
+) -> DataFrame:
+    """Add the last n lines of the transcript up to each message, as an array.
+
+    A message may have several lines (a note tells of its picture), and positions may have
+    gaps.  A null text is an empty line.
+    """
+    own = _last(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), n)
+    rows = df.withColumn(BLOCK, block_of(pos, block_rows)).withColumn("_own", own)
+    window = block_window(key, pos).rowsBetween(-(n - 1), 0)
+    here = rows.withColumn("_here", _last(F.flatten(F.collect_list("_own").over(window)), n))
+    carried = _with_carry(here, key, pos, "_here", n, lambda b: _last(F.flatten(b), n), "_carry")
+    both = F.when(F.col("_carry").isNull(), F.col("_here")).otherwise(_last(F.concat("_carry", "_here"), n))
+    return carried.withColumn(out, both).drop("_own", "_here", "_carry", BLOCK)
+
+
+def memory_text(
+    df: DataFrame, key: str, pos: str, text: str, budget: int = 500, block_rows: int = 100_000, out: str = "memory"
+) -> DataFrame:
+    """Add the last ``budget`` characters of the transcript up to and with each message.
+
+    As ``char_budget_suffix``, for positions with gaps too.  A null text is an empty line.
+    """
+    line = F.coalesce(F.col(text), F.lit(""))
+    rows = df.withColumn(BLOCK, block_of(pos, block_rows)).withColumn("_line", F.right(line, F.lit(budget)))
+    so_far = F.sum(F.length("_line") + 1).over(block_window(key, pos).rowsBetween(Window.unboundedPreceding, 0))
+    reach = Window.partitionBy(key, BLOCK).orderBy("_reach").rangeBetween(-(budget - 1), 0)
+    ends = lambda parts: F.right(F.concat(F.array_join(parts, "\n"), F.lit("\n")), F.lit(budget))
+    here = rows.withColumn("_reach", so_far.cast("bigint")).withColumn("_here", ends(F.collect_list("_line").over(reach)))
+    merge = lambda b: F.right(F.array_join(b, ""), F.lit(budget))
+    carried = _with_carry(here, key, pos, "_here", budget, merge, "_carry")
+    both = F.right(F.concat(F.coalesce("_carry", F.lit("")), F.col("_here")), F.lit(budget))
+    return carried.withColumn(out, both).drop("_line", "_reach", "_here", "_carry", BLOCK)
+
+
 def char_budget_suffix(
     df: DataFrame, key: str, pos: str, line: str, budget: int = 500, block_rows: int = 100_000,
     out: str = "tail",

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from threadloom import config as cfg
+from threadloom.operators import ordered
 from threadloom.plans import catalog_chat as chat
 from threadloom.plans import catalog_text as texts
 from threadloom.plans import chains
@@ -44,7 +47,7 @@ x AS (SELECT m.*, {_NAME} AS author_name,
   {o.exact(f"'[' || {o.nz(_NAME)} || ']: ' || " + o.trim(o.spoof("replace(a.text, chr(10), ' ')")))} AS line
   FROM m JOIN a USING (msg_id) JOIN users u ON u.user_id = m.author_id),
 {o.fuzzy('x', 'msg_id', 'line')},
-z AS (SELECT x.* EXCLUDE (line), {o.masked('line', '****')} || CASE WHEN n_attachments > 0
+z AS (SELECT x.* EXCLUDE (line), {o.masked('line', '****')} AS filtered, {o.masked('line', '****')} || CASE WHEN n_attachments > 0
     THEN chr(10) || '[System]: ' || author_name || ' attached an image' ELSE '' END AS line
   FROM x LEFT JOIN det USING (msg_id))"""
 
@@ -138,38 +141,83 @@ def p3(spark, d):
 
 # --- requests ---------------------------------------------------------------------------------------
 
-_CHECK = f"CASE WHEN quote IS NULL THEN {chat._threaded(1, 'line')} || chr(10) ELSE {chat._threaded(1, 'line')} END"
+# Threads over lines; in moderated ones the notes of pictures are lines of their own.
+_THREADED = f"""
+so AS (SELECT *, string_agg(line, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn) AS so_far FROM z),
+w AS (SELECT *, string_split(so_far, chr(10))[-9:] AS recent,
+  string_split({o.trim("right(so_far || chr(10), 500)")}, chr(10)) AS memory FROM so),
+q AS (SELECT w.*, CASE WHEN y.content IS NOT NULL THEN '[' || CASE WHEN y.author_id = {TEST.bot_id} THEN 'Bot'
+    ELSE {o.clean('u.username')} END || ']: ' || y.content END AS quote, y.content AS quoted
+  FROM w LEFT JOIN m y ON y.msg_id = w.ref_msg_id LEFT JOIN users u ON u.user_id = y.author_id)"""
+_PLAIN = f"{L}, {o.USERS}, z AS (SELECT *, line AS filtered FROM l), {_THREADED}"
+_LIVE = f"{SANITIZED}, {_THREADED}"
+_SAID = "replace(replace(filtered, chr(10), ''), '\\n', '')"
+_CHECK = f"CASE WHEN quote IS NULL THEN {chat._threaded(1, 'filtered')} || chr(10) ELSE {chat._threaded(1, 'filtered')} END"
 
 
-@query(
-    "p6_verdict_requests",
-    f"WITH {chat._THREADS} SELECT msg_id, {lit(TEST.verdict_context)} || {_CHECK} || chr(10) || "
-    f"{lit(TEST.verdict_question)} AS prompt, CAST(2 AS STRING) AS max_tokens FROM q",
-)
-def p6_requests(spark, d):
-    asked = chains.verdict_requests(lines(spark, d), derived.users(spark, d), TEST)
+def _again(fuzzy: str) -> str:
+    """The CTEs of a second search for words in one query."""
+    return re.sub(r"\b(toks|cand|near|hits|det)\b", r"\g<1>2", fuzzy.removeprefix(f"{o.WORDS},"))
+
+
+def live(spark, d):
+    """Moderated messages, written once: windows, quotes and their two sides read them."""
+    return ordered.materialize(chains.sanitize_live(messages(spark, d), *dims(spark, d), TEST))
+
+
+def _verdict_twin(threads: str) -> str:
+    return (
+        f"WITH {threads} SELECT msg_id, {lit(TEST.verdict_context)} || {_CHECK} || chr(10) || "
+        f"{lit(TEST.verdict_question)} AS prompt, CAST(2 AS STRING) AS max_tokens FROM q"
+    )
+
+
+def _verdict_prompts(spark, d, rows, filtered=None):
+    asked = chains.verdict_requests(rows, derived.users(spark, d), TEST, filtered=filtered)
     return asked.select("msg_id", "prompt", F.get_json_object("request", "$.max_tokens").alias("max_tokens"))
 
 
-_WANTED = f"regexp_matches(replace(line, '\\n', ''), {lit('(?i)' + cfg.PICTURE_REQUEST_PATTERN)})"
+@query("p6_verdict_requests", _verdict_twin(_PLAIN))
+def p6_requests(spark, d):
+    return _verdict_prompts(spark, d, lines(spark, d))
+
+
+@query("p6_live_verdict_requests", _verdict_twin(_LIVE))
+def p6_live_requests(spark, d):
+    return _verdict_prompts(spark, d, live(spark, d), "filtered")
+
+
+_WANTED = f"regexp_matches({_SAID}, {lit('(?i)' + cfg.PICTURE_REQUEST_PATTERN)})"
 _QUOTED = texts._RAW_PIC.replace("q.content", "quoted").replace("m.content", "content")
 
 
-@query(
-    "p6_reply_requests",
-    f"""WITH {chat._THREADS}, raw AS (SELECT msg_id, {_QUOTED} AS prompt, {_WANTED} AS wanted,
-      {lit(TEST.character_prompt)} || {chat._threaded(2, "replace(line, '\\n', '')")} || chr(10)
+def _reply_twin(threads: str) -> str:
+    search = o.fuzzy("raw", "msg_id", "prompt")
+    search, det = (search, "det") if threads is _PLAIN else (_again(search), "det2")
+    return f"""WITH {threads}, raw AS (SELECT msg_id, {_QUOTED} AS prompt, {_WANTED} AS wanted,
+      {lit(TEST.character_prompt)} || {chat._threaded(2, _SAID).replace('recent', 'memory')} || chr(10)
         || {lit(TEST.reply_header)} AS chat_prompt FROM q),
-    {o.fuzzy('raw', 'msg_id', 'prompt')}
+    {search}
     SELECT msg_id, wanted AS is_picture, CASE WHEN wanted THEN {texts._NO_NAME} ELSE chat_prompt END AS prompt,
-      CASE WHEN wanted THEN '140' ELSE '280' END AS max_tokens FROM raw LEFT JOIN det USING (msg_id)""",
-)
-def p6_replies(spark, d):
-    asked = chains.reply_requests(lines(spark, d), derived.users(spark, d), TEST)
+      CASE WHEN wanted THEN '140' ELSE '280' END AS max_tokens FROM raw LEFT JOIN {det} USING (msg_id)"""
+
+
+def _reply_prompts(spark, d, rows, filtered=None):
+    asked = chains.reply_requests(rows, derived.users(spark, d), TEST, filtered=filtered)
     limit = F.get_json_object("request", "$.max_tokens").alias("max_tokens")
     return asked.select("msg_id", "is_picture", "prompt", limit)
 
 
+@query("p6_reply_requests", _reply_twin(_PLAIN))
+def p6_replies(spark, d):
+    return _reply_prompts(spark, d, lines(spark, d))
+
+
+@query("p6_live_reply_requests", _reply_twin(_LIVE))
+def p6_live_replies(spark, d):
+    return _reply_prompts(spark, d, live(spark, d), "filtered")
+
+
 # One transition of a channel's gate at a time: its next event, or what is due before it.
 _NEVER = 4_000_000_000_000
 GATE = f"""{M},

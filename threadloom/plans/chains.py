@@ -91,18 +91,17 @@ def postprocess_reply(
 
 
 def verdict_requests(
-    messages: DataFrame, users: DataFrame, conf: ChatConfig, line: str = "line"
+    messages: DataFrame, users: DataFrame, conf: ChatConfig, line: str = "line", filtered: str | None = None
 ) -> DataFrame:
     """Add ``request``: asks a model whether the bot is addressed.
 
-    Context is the last lines of the conversation; a reply has the quoted message
-    just before it.
+    Context is the last lines of the conversation, notes of pictures counted as lines; a
+    reply has the quoted message just before it.  ``filtered`` is the message's line
+    without its note (that of ``sanitize_live``), where ``line`` has one.
     """
-    recent = transcript.last_n_lines(
-        messages, "conv_id", "turn", line, conf.context_lines, conf.block_rows, "_recent"
-    )
+    recent = transcript.last_text_lines(messages, "conv_id", "turn", line, conf.context_lines, conf.block_rows, "_recent")
     threaded = resolve.thread_context(recent, users, conf)
-    text = resolve.thread_lines(F.col("_recent"), F.col("quote_line"), F.col(line), drop_last=1)
+    text = resolve.thread_lines(F.col("_recent"), F.col("quote_line"), F.col(filtered or line), drop_last=1)
     context = F.when(F.col("quote_line").isNull(), F.concat(text, F.lit("\n"))).otherwise(text)
     prompt = tx.verdict_prompt(context, conf)
     return threaded.withColumn("prompt", prompt).withColumn(
@@ -111,17 +110,20 @@ def verdict_requests(
 
 
 def reply_requests(
-    messages: DataFrame, users: DataFrame, conf: ChatConfig, line: str = "line"
+    messages: DataFrame, users: DataFrame, conf: ChatConfig, line: str = "line", filtered: str | None = None
 ) -> DataFrame:
-    """Add ``request``: the chat prompt, or the picture prompt for a picture request."""
-    recent = transcript.last_n_lines(
-        messages, "conv_id", "turn", line, conf.context_lines, conf.block_rows, "_recent"
-    )
-    threaded = resolve.thread_context(recent, users, conf)
-    current = tx.remove_newlines(F.col(line))
+    """Add ``request``: the chat prompt, or the picture prompt for a picture request.
+
+    The chat prompt has the last ``char_budget`` characters of the transcript.  Whether a
+    picture is asked for is read off ``filtered``, the line without its note.
+    """
+    memory = transcript.memory_text(messages, "conv_id", "turn", line, conf.char_budget, conf.block_rows, "_memory")
+    threaded = resolve.thread_context(memory, users, conf)
+    said = tx.remove_newlines(F.col(filtered or line))
     # The trimmed transcript loses its last two lines here.
-    text = resolve.thread_lines(F.col("_recent"), F.col("quote_line"), current, drop_last=2)
-    wants = threaded.withColumn("is_picture", pictures.picture_request(F.col(line)))
+    remembered = F.split(tx.trim_all(F.col("_memory")), "\n")
+    text = resolve.thread_lines(remembered, F.col("quote_line"), said, drop_last=2)
+    wants = threaded.withColumn("is_picture", pictures.picture_request(F.col(filtered or line)))
     quoted = F.regexp_extract("quote_line", r"^\[[^\]]*\]: ([\s\S]*)$", 1)
     quote = F.when(F.col("quote_line").isNotNull(), quoted)
     prompt = F.when(F.col("is_picture"), pictures.picture_prompt(F.col("content"), quote, conf)).otherwise(
@@ -131,7 +133,7 @@ def reply_requests(
     return (
         wants.withColumn("prompt", prompt)
         .withColumn("request", jsonio.completion_request(F.col("prompt"), limit))
-        .drop("_recent")
+        .drop("_memory")
     )
 
 
