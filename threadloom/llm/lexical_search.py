@@ -257,15 +257,20 @@ def search_part(q: Batch, part: pa.RecordBatch, tables: dict[int, np.ndarray], b
                 block[row, at[d]] = impacts(top[d], m[d])
             # Whole numbers below 2^53: sums are exact.
             bounds[docs] = block @ tables[size]
-    exact: dict[int, np.ndarray] = {}
+    # Of a document only its terms in the batch, worked out once; a row of zeros lends the rest.
+    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    row = np.zeros(len(q.terms), np.int64)
 
     def score(i: int, d: int) -> int:
-        if d not in exact:
-            of_doc = exact[d] = np.zeros(len(q.terms), np.int64)
-            numbers = [(q.terms.get(t), tf) for t, tf in zip(part.column("terms")[d].as_py().split(), tfs[d].tolist())]
-            held = np.array([x for x in numbers if x[0] is not None], np.int64).reshape(-1, 2)
-            of_doc[held[:, 0]] = impacts(held[:, 1], m[d]) * q.weights[held[:, 0]]
-        return int((exact[d][q.item_terms[i]] * q.repeats[i]).sum())
+        if d not in held:
+            numbers = [(t, tf) for t, tf in zip(map(q.terms.get, part.column("terms")[d].as_py().split()), tfs[d].tolist()) if t is not None]
+            t, tf = np.array(numbers, np.int64).reshape(-1, 2).T
+            held[d] = t, impacts(tf, m[d]) * q.weights[t]
+        t, values = held[d]
+        row[t] = values
+        total = int(row[q.item_terms[i]] @ q.repeats[i])
+        row[t] = 0
+        return total
 
     ids = part.column("doc").to_pylist()
     for i, b in enumerate(best):
@@ -275,8 +280,6 @@ def search_part(q: Batch, part: pa.RecordBatch, tables: dict[int, np.ndarray], b
             if mine[d] < b.least:
                 break
             b.add(score(i, d), Descending(ids[d]))
-        if len(exact) * len(q.terms) > 4 * CELLS:
-            exact.clear()
 
 
 def lexical_search(index: DataFrame, queries: DataFrame, item_id: str = "item_id", text: str = "text", k: int = TOP) -> DataFrame:
