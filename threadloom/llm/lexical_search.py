@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -33,8 +34,10 @@ TOP = 20
 LOAD, FEWEST, MOST = 4, 256, 1 << 14
 #: Distinct (item, term) pairs of a batch of queries, and queries, which tasks hold at once.
 BATCH_PAIRS, BATCH_ITEMS = 200_000, 512
-#: Cells of a block of sketches.
-CELLS = 1 << 20
+#: Cells of a block of sketches, and documents whose bounds are sorted together.
+CELLS, PART_ROWS = 1 << 20, 2048
+#: Terms whose hashes a task remembers.
+KNOWN_TERMS = 100_000
 #: Rows in which what tasks have found meets first, for each query.
 MEETINGS = 16
 
@@ -50,6 +53,7 @@ def terms_of(text: str | None) -> list[bytes]:
 
 def impacts(tf: np.ndarray, m: np.ndarray) -> np.ndarray:
     """In whole numbers, rounded down: what a term of this frequency adds for each unit of weight."""
+    tf = tf.astype(np.int64)
     return (1_000_000_000 * tf) // (1000 * tf + 12 * m)
 
 
@@ -71,7 +75,7 @@ def max_sketch(hashes: np.ndarray, tfs: np.ndarray, size: int) -> tuple[np.ndarr
 
 def indexing(id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = WordHashes(KNOWN_TERMS)
         for batch in batches:
             for start in range(0, len(batch), 512):
                 part = batch.slice(start, 512)
@@ -79,7 +83,7 @@ def indexing(id_type: pa.DataType):
                 for text in part.column(1).to_pylist():
                     words = terms_of(text)
                     counts = Counter(words)
-                    tfs = np.fromiter(counts.values(), np.int64, len(counts))
+                    tfs = np.fromiter(counts.values(), np.int32, len(counts))
                     at, top = max_sketch(hashes.of(counts), tfs, size_of_sketch(len(counts)))
                     rows.append((len(words), b" ".join(counts), tfs.tobytes(), at.tobytes(), top.tobytes()))
                 n, terms, tfs, at, top = zip(*rows)
@@ -224,10 +228,12 @@ def searching(q: Batch, id_type: pa.DataType, k: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[int, np.ndarray] = {}
         best = [Best(k) for _ in q.items]
-        for part in rows:
-            part = part.filter(pa.compute.greater(part.column("n"), 0))
-            if len(part):
-                search_part(q, part, tables, best)
+        for batch in rows:
+            for start in range(0, len(batch), PART_ROWS):
+                part = batch.slice(start, PART_ROWS)
+                part = part.filter(pc.greater(part.column("n"), 0))
+                if len(part):
+                    search_part(q, part, tables, best)
         found = [(i, key.id, score) for i, b in enumerate(best) for score, key in b.heap]
         yield pa.RecordBatch.from_arrays(
             [pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], id_type), pa.array([f[2] for f in found], pa.int64())],
@@ -240,9 +246,9 @@ def searching(q: Batch, id_type: pa.DataType, k: int):
 def search_part(q: Batch, part: pa.RecordBatch, tables: dict[int, np.ndarray], best: list[Best]) -> None:
     """Bounds of all queries for the documents of ``part``, and exact scores where they matter."""
     m = q.lengths(part.column("n").to_numpy(zero_copy_only=False))
-    tfs = [np.frombuffer(b.as_buffer(), np.int64) for b in part.column("tfs")]
+    tfs = [np.frombuffer(b.as_buffer(), np.int32) for b in part.column("tfs")]
     at = [np.frombuffer(b.as_buffer(), np.int32) for b in part.column("at")]
-    top = [np.frombuffer(b.as_buffer(), np.int64) for b in part.column("top")]
+    top = [np.frombuffer(b.as_buffer(), np.int32) for b in part.column("top")]
     sizes = np.array([size_of_sketch(len(t)) for t in tfs])
     bounds = np.empty((len(part), len(q.items)))
     for size in np.unique(sizes).tolist():
