@@ -1,6 +1,7 @@
 """Small tables with a case each: nulls, empty and long texts, ties, repeats, clashing columns."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from test_catalog import base_spans
 from threadloom.llm import pii
 from threadloom.llm.common import words
 from threadloom.llm.decontaminate import benchmark_overlaps, decontaminated
-from threadloom.llm.licenses import license_scan
+from threadloom.llm.licenses import BASE, TEMPLATES, Template, license_scan
 from threadloom.llm.line_dedup import line_dedup
 from threadloom.llm.mixing import mix_sources
 from threadloom.llm.near_dedup import components, near_dedup, shingle_set
@@ -202,11 +203,46 @@ def test_license_scan(spark):
         0: (7, 1, 2, 2, "cc-by", "cc-by,cc-by-nc"),
         1: (5, 1, 3, 3, "mit", "mit"),
         2: (13, 0, None, None, "", "mit"),
-        3: (7, 0, None, None, "", ""),
+        3: (7, 0, None, None, "", "mit"),
         4: (0, 0, None, None, "", ""),
     }
 
 
+def test_license_scan_against_a_search_at_every_place(spark):
+    """Key phrase and share at each place of the text, with overlapping and cut notices, repeated words and keys."""
+    r = random.Random(8)
+    own = (Template("twice", "on and on and on it goes", "on and on", 0.5), Template("word", "permitted", "permitted"), Template("aba", "a b a c a b a", "a b a"))
+    templates = (*TEMPLATES, *own)
+    texts = ["Mozilla Public License 2.0", "a b c d e f g h mozilla public license y", "on and on and on and on it goes", "a b a b a c a b a"]
+    for _ in range(150):
+        w = []
+        for _ in range(r.randrange(1, 5)):
+            t = r.choice((*BASE, *templates)).all
+            at = r.randrange(len(t))
+            part = t[at:] if r.random() < 0.3 else t[: at + 1] if r.random() < 0.3 else list(t)
+            w += [r.choice(t) if r.random() < 0.08 else x for x in part] + [r.choice(["mit", "license", "other", "the", "on"]) for _ in range(r.randrange(4))]
+        texts.append(" ".join(w))
+
+    def places(w, t):
+        k = t.key_words
+        for i in range(len(w)):
+            if w[i : i + len(k)] == k:
+                inside = [(w[i - t.key_at + j], x) for j, x in enumerate(t.all) if 0 <= i - t.key_at + j < len(w)]
+                if sum(a == b for a, b in inside) / len(inside) >= t.share:
+                    yield i, sum(a == b for a, b in inside) / len(inside)
+
+    got = {x.doc_id: (x.n_base, x.first_word, x.last_word, x.labels, x.score) for x in license_scan(docs(spark, *texts), templates=templates).collect()}
+    for n, text in enumerate(texts):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+        at = [i for t in BASE for i, _ in places(w, t)]
+        hits = {t.label: [s for _, s in places(w, t)] for t in BASE} | {t.label: [s for _, s in places(w, t)] for t in templates if t.label not in {b.label for b in BASE}}
+        for t in templates:
+            hits[t.label] = hits[t.label] + [s for _, s in places(w, t)]
+        want = (len(at), min(at, default=None), max(at, default=None), ",".join(sorted(k for k, v in hits.items() if v)), max((s for v in hits.values() for s in v), default=0.0))
+        assert got[n] == want, text
+    assert got[0][3] == "mpl" and got[1][3] == ""
+
+
 def test_mixing_reaches_its_targets(spark):
     r = random.Random(1)
     rows = [(i, "w " * r.randrange(1, 60), "", s, 0) for i, s in enumerate(r.choices(["a", "b", "c", None], [60, 10, 20, 10], k=3000))]

@@ -1,9 +1,10 @@
 """License scans by a positional index of rare words.
 
-The index holds, for each template, the word of its key phrase that the fewest
-documents have, with the word's place.  A text is searched for these few words
-only; each hit says where the template would have to start, there the key phrase is
-verified word by word, and then the share of the template's words in place.
+The index holds every place of every word of the templates, and the number of all
+documents that have the word.  A file is asked for the rarest words it shares with
+each template whose key words it has; their postings, moved to where the template's
+key would start, are intersected; where they agree, the key phrase is verified word
+by word, and the share of the template's words in place is counted.
 """
 
 from __future__ import annotations
@@ -63,6 +64,9 @@ TEMPLATES = (
     Template("cc-by-nc", "cc by nc", "cc by nc"),
 )
 
+#: Words looked up for each template that a file may hold.
+LOOKED_UP = 2
+
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -80,33 +84,67 @@ def document_counts(words: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     return {r["word"]: r["count"] for r in counts.collect()}
 
 
-def anchors(templates, counts: dict[str, int]) -> list[tuple[Template, int]]:
-    """Each template with the place, in its words, of its key's rarest word."""
-    found = []
-    for t in templates:
-        place = min(range(len(t.key_words)), key=lambda i: (counts.get(t.key_words[i], 0), i))
-        found.append((t, t.key_at + place))
-    return found
+def positional_index(templates, n_base: int, counts: dict[str, int]) -> tuple[Column, Column]:
+    """The words of all templates, rarest first, and the templates with their words' places.
+
+    ``places`` has for each word of the key its places in the key.
+    """
+    by_rarity = sorted({x for t in templates for x in t.all}, key=lambda x: (counts.get(x, 0), x))
+    texts = lambda xs: F.array(*map(F.lit, xs))
+    rows = []
+    for n, t in enumerate(templates):
+        key = t.key_words
+        postings = [F.struct(F.lit(x).alias("word"), F.array(*[F.lit(i) for i, y in enumerate(key) if x == y]).alias("at")) for x in dict.fromkeys(key)]
+        rows.append(
+            F.struct(
+                F.lit(t.label).alias("label"),
+                F.lit(n < n_base).alias("base"),
+                texts(t.all).alias("words"),
+                texts(key).alias("key"),
+                F.lit(t.key_at).alias("key_at"),
+                F.array(*postings).alias("places"),
+                F.lit(float(t.share)).alias("least"),
+            )
+        )
+    return texts(by_rarity), F.array(*rows)
+
+
+def rarest_key_words(t: Column, present: Column) -> Column:
+    """The ``LOOKED_UP`` rarest of the key's words (``present`` is in order of rarity)."""
+    return F.slice(F.array_intersect(present, t["key"]), 1, LOOKED_UP)
+
 
+def key_starts(t: Column, present: Column, hits: Column) -> Column:
+    """Where the key would have to start, by all the words looked up for the template."""
 
-def places(w: Column, t: Template, anchor: int) -> Column:
-    """(start of the key phrase, share of the template) wherever the key phrase stands."""
-    rare = F.filter(F.transform(w, lambda x, i: F.when(x == t.all[anchor], i - anchor)), lambda i: i.isNotNull())
+    def starts(word: Column) -> Column:
+        at = F.filter(t["places"], lambda p: p["word"] == word)[0]["at"]
+        of_word = F.filter(hits, lambda h: h["word"] == word)
+        return F.flatten(F.transform(of_word, lambda h: F.transform(at, lambda k: h["at"] - k)))
 
-    def verified(s: Column) -> Column:
-        test = F.lit(True)
-        for k, word in enumerate(t.key_words):
-            test = test & (F.get(w, F.greatest(s + t.key_at + k, F.lit(0))) == word)
-        return F.coalesce(test & (s + t.key_at >= 0), F.lit(False))
+    each = F.transform(rarest_key_words(t, present), starts)
+    return let(each, lambda e: F.aggregate(e, F.array_distinct(e[0]), F.array_intersect))
+
+
+def verified(w: Column, t: Column, starts: Column) -> Column:
+    """(start of the key phrase, share of the template) where key and share hold.
+
+    The share is of those places of the template that lie inside the text, so that a
+    notice of the key alone is a whole one.
+    """
+    stands = F.filter(starts, lambda s: F.when(s < 0, False).otherwise(F.slice(w, F.greatest(s, F.lit(0)) + 1, F.size(t["key"])) == t["key"]))
 
     def share(s: Column) -> Column:
-        if t.words == t.key:
-            return F.lit(1.0)
-        there = [F.when((s + j >= 0) & (F.get(w, F.greatest(s + j, F.lit(0))) == word), 1).otherwise(0) for j, word in enumerate(t.all)]
-        return sum(there[1:], there[0]) / F.lit(float(len(there)))
+        first = s - t["key_at"]
+        there = F.transform(
+            t["words"],
+            lambda x, j: F.when((first + j >= 0) & (first + j < F.size(w)), (F.get(w, F.greatest(first + j, F.lit(0))) == x).cast("int")),
+        )
+        inside = F.filter(there, lambda x: x.isNotNull())
+        return F.size(F.filter(inside, lambda x: x == 1)) / F.size(inside).cast("double")
 
-    found = F.transform(F.filter(rare, verified), lambda s: F.struct((s + t.key_at).alias("at"), share(s).alias("share")))
-    return F.filter(found, lambda x: x["share"] >= t.share)
+    found = F.transform(stands, lambda s: F.struct(s.alias("at"), share(s).alias("share")))
+    return F.filter(found, lambda x: x["share"] >= t["least"])
 
 
 @own_names
@@ -116,25 +154,32 @@ def license_scan(docs: DataFrame, text: str = "text", base=BASE, templates=TEMPL
     n_words, n_base (places of base phrases), first_word and last_word (their first
     and last start, else null), base_labels and labels (sorted, joined by commas) and
     score (the best share of a template in place, 0 without any).  A null or empty
-    text has no words and no labels.  Columns of these names give way; ids play no
-    part.  Which word is looked up depends on how many of all documents have it, what
-    is found does not.
+    text has no words and no labels, an empty table gives an empty one.  Columns of
+    these names give way; ids play no part, repeated rows get the same each.  Which
+    words are looked up depends on how many of all documents have them, what is found
+    does not: every key phrase has all its words, the rarest too.
     """
     made = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     rest = docs.drop(*made)
     all_templates = [*base, *templates]
-    vocabulary = sorted({x for t in all_templates for x in t.key_words})
+    vocabulary = sorted({x for t in all_templates for x in t.all})
     counts = document_counts(docs.select(license_words(F.col(text)).alias("_words")), vocabulary)
-    index = anchors(all_templates, counts)
-    rare = sorted({t.all[a] for t, a in index})
+    by_rarity, index = positional_index(all_templates, len(base), counts)
 
     def looked_up(w: Column) -> Column:
-        each = F.array(*[F.struct(F.lit(t.label).alias("label"), F.lit(n < len(base)).alias("base"), places(w, t, a).alias("found")) for n, (t, a) in enumerate(index)])
-        there = F.filter(each, lambda x: F.size(x["found"]) > 0)
+        return let(F.array_intersect(by_rarity, w), lambda present: let(possible(present), lambda ts: found_in(w, present, ts)))
+
+    def possible(present: Column) -> Column:
+        return F.filter(index, lambda t: F.size(F.array_except(t["key"], present)) == 0)
+
+    def found_in(w: Column, present: Column, ts: Column) -> Column:
+        wanted = F.array_distinct(F.flatten(F.transform(ts, lambda t: rarest_key_words(t, present))))
+        at = let(wanted, lambda asked: F.filter(F.transform(w, lambda x, i: F.when(F.array_contains(asked, x), F.struct(x.alias("word"), i.alias("at")))), lambda h: h.isNotNull()))
+        each = let(at, lambda hits: F.transform(ts, lambda t: F.struct(t["label"].alias("label"), t["base"].alias("base"), verified(w, t, key_starts(t, present, hits)).alias("found"))))
         none = F.array().cast("array<struct<label:string,base:boolean,found:array<struct<at:int,share:double>>>>")
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
-            F.when(F.arrays_overlap(w, F.array(*map(F.lit, rare))), there).otherwise(none).alias("there"),
+            F.when(F.size(ts) > 0, F.filter(each, lambda x: F.size(x["found"]) > 0)).otherwise(none).alias("there"),
         )
 
     f = F.col("_found")

@@ -169,8 +169,9 @@ def _licenses() -> str:
             f"(CASE WHEN i + {j - t.key_at} >= 0 AND i + {j - t.key_at} < len(w) AND w[greatest(i + {j - t.key_at + 1}, 1)] = '{x}' THEN 1 ELSE 0 END)"
             for j, x in enumerate(t.all)
         )
+        room = " + ".join(f"(i + {j - t.key_at} BETWEEN 0 AND len(w) - 1)::INT" for j in range(len(t.all)))
         parts.append(
-            f"SELECT doc_id, '{t.label}' AS label, {n < len(BASE)} AS base, i, ({share}) / {float(len(t.all))}::DOUBLE AS share, {t.share}::DOUBLE AS least FROM c_at WHERE {key}"
+            f"SELECT doc_id, '{t.label}' AS label, {n < len(BASE)} AS base, i, ({share}) / ({room})::DOUBLE AS share, {t.share}::DOUBLE AS least FROM c_at WHERE {key}"
         )
     return rf"""WITH
 c_words AS (SELECT doc_id, {_license_words()} AS w FROM documents),
