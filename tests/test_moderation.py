@@ -41,3 +41,28 @@ def test_masks_are_idempotent(spark):
     twice = moderation.with_mask_fuzzy(once, "t", ["badword", "blocked"], "****")
     rows = [r[0] for r in once.collect()]
     assert rows == [r[0] for r in twice.collect()] == ["a **** badwordish ****", "x  y"]
+
+
+def test_masking_is_that_of_every_hit_in_turn(spark):
+    """Repeated hits count only where the text has changed: as if each were replaced again."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(400):
+        text = " " * rng.randrange(2) + "".join(rng.choices(["aab", "aba", "baa", "ab", "b", " ", "  ", "*", "abab"], k=rng.randrange(30)))
+        tokens = [rng.choice(["aab", "aba", " baa ", "*ab", "ab", "abab", "**b"]) for _ in range(rng.randrange(9))]
+        rows.append((i, text, tokens))
+    df = spark.createDataFrame([*rows, (400, None, ["aab"]), (401, "aab", None)], "id int, t string, h array<string>")
+    for mask in ("", "**", "a"):
+        for r in df.select("*", moderation.mask_tokens(F.col("t"), F.col("h"), mask).alias("out")).collect():
+            want = r.t
+            for token in r.h or []:
+                word = token.strip()
+                if want is not None and len(word) > 2:
+                    want = want.replace(word, mask).replace("  ", " ")
+            assert r.out == (None if r.h is None else want)
+
+
+def test_a_text_of_very_many_hits(spark):
+    df = spark.createDataFrame([("b4dword badword " * 16_000,)], "t string")
+    got = moderation.with_mask_fuzzy(df, "t", ["badword"], "****").first().t
+    assert got == "**** " * 32_000

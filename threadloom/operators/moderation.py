@@ -35,21 +35,22 @@ def fuzzy_matches(text: Column, words: Iterable[str]) -> Column:
     """Array of (pos, token, word): every token near every banned word, in order.
 
     The whole text is cleaned at once: blanks stay, so the cleaned tokens keep
-    their places.  A check of the length passes over most of them.
+    their places, and each meets its raw form once.  A check of the length passes over
+    most of them.
     """
     lowered = [w.lower() for w in words if w]
     listed = F.array(*[F.lit(w) for w in lowered])
     cleaned = F.split(F.regexp_replace(F.lower(text), "[^a-z0-9 ]+", ""), " ")
-    tokens = F.transform(cleaned, lambda c, i: F.struct(i.alias("pos"), c.alias("clean")))
+    pairs = F.arrays_zip(cleaned.alias("clean"), F.split(text, " ").alias("token"))
+    tokens = F.transform(pairs, lambda p, i: F.struct(i.alias("pos"), p["clean"].alias("clean"), p["token"].alias("token")))
     lengths = _matchable_lengths(lowered)
     checked = F.filter(tokens, lambda t: F.length(t["clean"]).isin(lengths))
 
     def near(t: Column) -> Column:
         threshold = edit_threshold(t["clean"])
-        token = F.get(F.split(text, " "), t["pos"])
         return F.transform(
             F.filter(listed, lambda w: is_within(t["clean"], w, threshold)),
-            lambda w: F.struct(t["pos"].alias("pos"), token.alias("token"), w.alias("word")),
+            lambda w: F.struct(t["pos"].alias("pos"), t["token"].alias("token"), w.alias("word")),
         )
 
     return F.flatten(F.transform(checked, near))
@@ -74,14 +75,29 @@ def detected_words(matches: Column) -> Column:
 
 def mask_tokens(text: Column, tokens: Column, mask: str) -> Column:
     """Replace each token wherever it occurs, also inside words, in the given order;
-    double blanks are closed up once after each."""
+    double blanks are closed up once after each.
 
-    def step(t: Column, token: Column) -> Column:
-        word = trim_all(token)
-        hidden = F.replace(F.replace(t, word, F.lit(mask)), F.lit("  "), F.lit(" "))
-        return F.when(F.length(word) > 2, hidden).otherwise(t)
+    A token that was tried before is passed over unless the text has changed since, so
+    that the texts read grow with the distinct tokens and not with all of them."""
+    bound = lambda value, body: F.transform(F.array(value), body)[0]
+    placed = F.transform(tokens, lambda t, i: F.struct(trim_all(t).alias("word"), i.alias("at")))
+    by_word = F.array_sort(F.filter(placed, lambda x: F.length(x["word"]) > 2))
 
-    return F.aggregate(tokens, text, step)
+    def with_last_try(s: Column) -> Column:
+        def of(x: Column, j: Column) -> Column:
+            before = F.get(s, F.greatest(j - 1, F.lit(0)))
+            again = (j > 0) & (before["word"] == x["word"])
+            return F.struct(x["at"].alias("at"), F.when(again, before["at"]).otherwise(-2).alias("tried"), x["word"].alias("word"))
+
+        return F.array_sort(F.transform(s, of))
+
+    def step(state: Column, x: Column) -> Column:
+        hidden = F.replace(F.replace(state["text"], x["word"], F.lit(mask)), F.lit("  "), F.lit(" "))
+        tried = bound(hidden, lambda h: F.struct(h.alias("text"), F.when(h == state["text"], state["changed"]).otherwise(x["at"]).alias("changed")))
+        return F.when(x["tried"] > state["changed"], state).otherwise(tried)
+
+    start = F.struct(text.alias("text"), F.lit(-1).alias("changed"))
+    return F.aggregate(bound(by_word, with_last_try), start, step, lambda state: state["text"])
 
 
 def with_mask_fuzzy(
