@@ -36,18 +36,26 @@ def resolve_mentions(
     """Replace mention tags by nickname or username, channel tags by ``#name``.
 
     With ``stop_on_unknown`` the first tag that cannot be resolved ends the
-    replacing.  Only rows that hold a tag are shuffled.
+    replacing.  The rows are read once: tags leave their row to be looked up, and the
+    labels meet again by row id and text, so that rows of one id keep their own.
     """
     out = out or text
-    tagged = df.withColumn("_tags", distinct_tags(F.col(text)))
-    plain = tagged.where((F.size("_tags") == 0) | F.col("_tags").isNull()).drop("_tags")
-    plain = plain.withColumn(out, F.col(text))
-    tagged = tagged.where(F.size("_tags") > 0)
-    each = tagged.select(row_id, F.posexplode("_tags").alias("_pos", "_tag"))
-    each = each.select(
-        "*",
-        F.contains("_tag", F.lit("@")).alias("_is_user"),
-        F.regexp_extract("_tag", r"\d+", 0).try_cast("bigint").alias("_id"),
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    # The row itself goes beside its tags, at a key of its own that no label has: so a
+    # hot tag gathers short tags only, and several labels of one tag don't repeat a row.
+    tags = F.coalesce(distinct_tags(F.col(text)), F.array().cast("array<string>"))
+    each = df.select(
+        F.col(row_id).alias("_row_id"),
+        F.xxhash64(F.col(text)).alias("_of_text"),
+        row.alias("_row"),
+        F.explode(F.concat(F.array(F.lit(None).cast("string")), tags)).alias("_tag"),
+    ).select(
+        "_row_id",
+        "_of_text",
+        F.when(F.col("_tag").isNull(), F.col("_row")).alias("_row"),
+        "_tag",
+        F.coalesce(F.contains("_tag", F.lit("@")), F.lit(False)).alias("_is_user"),
+        F.coalesce(F.regexp_extract("_tag", r"\d+", 0).try_cast("bigint"), -1 - F.pmod(F.xxhash64("_row_id", "_of_text"), F.lit(1 << 40))).alias("_id"),
     )
     people = users.select(
         F.lit(True).alias("_is_user"),
@@ -59,23 +67,25 @@ def resolve_mentions(
         F.col("channel_id").alias("_id"),
         F.concat(F.lit("#"), F.col("name")).alias("_label"),
     )
-    named = people.unionByName(rooms)
-    labels = (
-        each.join(named, ["_is_user", "_id"], "left")
-        .groupBy(row_id)
+    gathered = (
+        each.join(people.unionByName(rooms), ["_is_user", "_id"], "left")
+        .groupBy("_row_id", "_of_text")
         .agg(
-            F.array_sort(F.collect_list(F.struct("_pos", "_tag", "_label"))).alias("_labels"),
-            F.min(F.when(F.col("_label").isNull(), F.col("_pos"))).alias("_stop"),
+            F.collect_list("_row").alias("_rows"),
+            F.collect_set(F.when(F.col("_label").isNotNull(), F.struct("_tag", "_label"))).alias("_labels"),
         )
     )
-    usable = F.filter(
-        "_labels",
-        lambda r: r["_label"].isNotNull()
-        & (F.coalesce(r["_pos"] < F.col("_stop"), F.lit(True)) if stop_on_unknown else F.lit(True)),
+    # Of several labels of one tag the first in order holds, as a map has one.
+    one_each = F.map_from_entries(
+        F.filter(F.sort_array("_labels"), lambda x, i: (i == 0) | (F.get(F.sort_array("_labels"), F.greatest(i - 1, F.lit(0)))["_tag"] != x["_tag"]))
     )
-    resolved = F.aggregate(usable, F.col(text), lambda s, r: F.replace(s, r["_tag"], r["_label"]))
-    done = tagged.join(labels, row_id).withColumn(out, resolved).drop("_tags", "_labels", "_stop")
-    return plain.unionByName(done)
+    rows = gathered.select(F.inline("_rows"), F.when(F.size("_labels") > 0, one_each).alias("_names"))
+    named = F.transform(distinct_tags(F.col(text)), lambda t: F.struct(t.alias("tag"), F.col("_names")[t].alias("label")))
+    stop = F.array_position(F.transform(named, lambda x: x["label"].isNull()), True)
+    usable = F.when(stop > 0, F.slice(named, F.lit(1), (stop - 1).cast("int"))).otherwise(named) if stop_on_unknown else named
+    known = F.filter(usable, lambda x: x["label"].isNotNull())
+    resolved = F.aggregate(known, F.col(text), lambda s, x: F.replace(s, x["tag"], x["label"]))
+    return rows.withColumn(out, F.when(F.col("_names").isNotNull(), resolved).otherwise(F.col(text))).drop("_names")
 
 
 def thread_context(messages: DataFrame, users: DataFrame, conf: ChatConfig, quote_limit: int | None = None) -> DataFrame:
