@@ -110,3 +110,23 @@ def token_request(prompt: Column) -> Column:
     """Request document for the token server."""
     fields = [_literal(v).alias(k) for k, v in cfg.TOKEN_BACKEND_CONSTANTS.items()]
     return F.to_json(F.struct(*fields, prompt.alias("prompt")))
+
+
+def picture_server_request(plan: Column, image: Column) -> Column:
+    """Request document for a picture server, from a ``picture_plan``.
+
+    ``image`` is the first attached picture as base64 text; a plan that starts from
+    a picture has no document without it.  Unknown sizes of a picture are left out.
+    """
+    common = [plan[k].alias(k) for k in ("prompt", "negative_prompt", "steps", "width", "height", "sampler_name", "denoising_strength")]
+    plain = F.struct(
+        *common,
+        plan["hr_resize_x"].alias("hr_resize_x"),
+        plan["hr_resize_y"].alias("hr_resize_y"),
+        *[_literal(v).alias(k) for k, v in cfg.TXT2IMG_CONSTANTS.items()],
+        F.create_map().cast("map<string,string>").alias("override_settings"),
+    )
+    from_picture = F.struct(
+        F.array(image).alias("init_images"), *common, *[_literal(v).alias(k) for k, v in cfg.IMG2IMG_CONSTANTS.items()]
+    )
+    return F.when(plan["endpoint"] == "txt2img", F.to_json(plain)).when(image.isNotNull(), F.to_json(from_picture))

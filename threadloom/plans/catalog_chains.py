@@ -296,7 +296,12 @@ _HEADER = lit(TEST.reply_header)
     FROM p""",
 )
 def p4(spark, d):
-    m = messages(spark, d)
+    return _planned(messages(spark, d)).select(
+        "request_id", "selfie", "plan.endpoint", "plan.prompt", "plan.width", "memory_line", "message"
+    )
+
+
+def _planned(m):
     requests = m.select(
         F.col("msg_id").alias("request_id"), "content", F.lit("no echo").alias("prompt"), "n_attachments",
         F.lit(640).alias("attached_width"), F.lit(480).alias("attached_height"),
@@ -305,10 +310,29 @@ def p4(spark, d):
     responses = m.select(
         F.col("msg_id").alias("request_id"), F.to_json(F.struct(F.array(text).alias("choices"))).alias("body")
     )
-    done = chains.picture_replies(requests, responses, TEST)
-    return done.select(
-        "request_id", "selfie", "plan.endpoint", "plan.prompt", "plan.width", "memory_line", "message"
-    )
+    return chains.picture_replies(requests, responses, TEST)
+
+
+_DRAWN = texts._concat(
+    f"""'"prompt":' || CAST(to_json(CASE WHEN selfie AND NOT img THEN {lit(cfg.PICTURE_CHARACTER)} ELSE '' END || format || ' ((' || head || '))') AS VARCHAR)""",
+    lit(f',"negative_prompt":"{cfg.PICTURE_NEGATIVE}","steps":20,'),
+)
+
+
+@query(
+    "n3_picture_requests",
+    f"""WITH {_PICTURES}, s AS (SELECT *, CASE WHEN selfie THEN 688 ELSE 768 END AS wd, CASE WHEN selfie THEN 768 ELSE 488 END AS ht FROM p)
+    SELECT s.msg_id AS request_id, CASE WHEN img THEN 'img2img' ELSE 'txt2img' END AS endpoint,
+      CASE WHEN img THEN '{{"init_images":["' || to_base64(encode(m.content)) || '"],' || {_DRAWN}
+          || {lit('"width":640,"height":480,"sampler_name":"DPM++ SDE Karras","denoising_strength":0.35,' + texts._constants(cfg.IMG2IMG_CONSTANTS) + '}')}
+        ELSE '{{' || {_DRAWN} || '"width":' || wd || ',"height":' || ht || ',"sampler_name":"DDIM","denoising_strength":0.3,"hr_resize_x":'
+          || 2 * wd || ',"hr_resize_y":' || 2 * ht || {lit(',' + texts._constants(cfg.TXT2IMG_CONSTANTS) + ',"override_settings":{}}')} END AS request
+    FROM s JOIN m USING (msg_id)""",
+)
+def n3_pictures(spark, d):
+    m = messages(spark, d)
+    attached = m.where("n_attachments > 0").select(F.col("msg_id").alias("request_id"), F.encode("content", "utf-8").alias("content"))
+    return chains.picture_server_requests(_planned(m), attached)
 
 
 # --- token server -------------------------------------------------------------------------------------

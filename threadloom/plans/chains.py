@@ -171,6 +171,23 @@ def picture_replies(
     )
 
 
+def picture_server_requests(planned: DataFrame, attachments: DataFrame) -> DataFrame:
+    """request_id, endpoint and document of each planned picture that can be drawn.
+
+    ``planned`` comes from ``picture_replies``; ``attachments`` has request_id and
+    content (bytes of the first attached picture, one row per request).  Requests
+    whose picture is missing drop out.
+    """
+    pictures_of = attachments.where(F.col("content").isNotNull()).select(
+        "request_id", jsonio.encode_image(F.col("content")).alias("_image")
+    )
+    document = jsonio.picture_server_request(F.col("plan"), F.col("_image"))
+    told = planned.join(pictures_of, "request_id", "left").select(
+        "request_id", F.col("plan.endpoint").alias("endpoint"), document.alias("request")
+    )
+    return told.where(F.col("request").isNotNull())
+
+
 def token_requests(
     messages: DataFrame, users: DataFrame, conf: ChatConfig, line: str = "line"
 ) -> DataFrame:
