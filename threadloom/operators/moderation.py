@@ -35,14 +35,13 @@ def fuzzy_matches(text: Column, words: Iterable[str]) -> Column:
     """Array of (pos, token, word): every token near every banned word, in order.
 
     The whole text is cleaned at once: blanks stay, so the cleaned tokens keep
-    their places, and each meets its raw form once.  A check of the length passes over
-    most of them.
+    their places, and the text is split once for all matches.  A check of the length
+    passes over most of them.
     """
     lowered = [w.lower() for w in words if w]
     listed = F.array(*[F.lit(w) for w in lowered])
     cleaned = F.split(F.regexp_replace(F.lower(text), "[^a-z0-9 ]+", ""), " ")
-    pairs = F.arrays_zip(cleaned.alias("clean"), F.split(text, " ").alias("token"))
-    tokens = F.transform(pairs, lambda p, i: F.struct(i.alias("pos"), p["clean"].alias("clean"), p["token"].alias("token")))
+    tokens = F.transform(cleaned, lambda c, i: F.struct(i.alias("pos"), c.alias("clean")))
     lengths = _matchable_lengths(lowered)
     checked = F.filter(tokens, lambda t: F.length(t["clean"]).isin(lengths))
 
@@ -50,10 +49,24 @@ def fuzzy_matches(text: Column, words: Iterable[str]) -> Column:
         threshold = edit_threshold(t["clean"])
         return F.transform(
             F.filter(listed, lambda w: is_within(t["clean"], w, threshold)),
-            lambda w: F.struct(t["pos"].alias("pos"), t["token"].alias("token"), w.alias("word")),
+            lambda w: F.struct(t["pos"].alias("pos"), w.alias("word")),
         )
 
-    return F.flatten(F.transform(checked, near))
+    def with_tokens(found: Column) -> Column:
+        return _bound(
+            F.split(text, " "),
+            lambda raw: F.transform(
+                found, lambda m: F.struct(m["pos"].alias("pos"), F.get(raw, m["pos"]).alias("token"), m["word"].alias("word"))
+            ),
+        )
+
+    none = F.array().cast("array<struct<pos:int,token:string,word:string>>")
+    return _bound(F.flatten(F.transform(checked, near)), lambda m: F.when(F.size(m) == 0, none).otherwise(with_tokens(m)))
+
+
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value worked out once."""
+    return F.transform(F.array(value), body)[0]
 
 
 def fuzzy_banned_match(
@@ -79,7 +92,6 @@ def mask_tokens(text: Column, tokens: Column, mask: str) -> Column:
 
     A token that was tried before is passed over unless the text has changed since, so
     that the texts read grow with the distinct tokens and not with all of them."""
-    bound = lambda value, body: F.transform(F.array(value), body)[0]
     placed = F.transform(tokens, lambda t, i: F.struct(trim_all(t).alias("word"), i.alias("at")))
     by_word = F.array_sort(F.filter(placed, lambda x: F.length(x["word"]) > 2))
 
@@ -93,11 +105,11 @@ def mask_tokens(text: Column, tokens: Column, mask: str) -> Column:
 
     def step(state: Column, x: Column) -> Column:
         hidden = F.replace(F.replace(state["text"], x["word"], F.lit(mask)), F.lit("  "), F.lit(" "))
-        tried = bound(hidden, lambda h: F.struct(h.alias("text"), F.when(h == state["text"], state["changed"]).otherwise(x["at"]).alias("changed")))
+        tried = _bound(hidden, lambda h: F.struct(h.alias("text"), F.when(h == state["text"], state["changed"]).otherwise(x["at"]).alias("changed")))
         return F.when(x["tried"] > state["changed"], state).otherwise(tried)
 
     start = F.struct(text.alias("text"), F.lit(-1).alias("changed"))
-    return F.aggregate(bound(by_word, with_last_try), start, step, lambda state: state["text"])
+    return F.aggregate(_bound(by_word, with_last_try), start, step, lambda state: state["text"])
 
 
 def with_mask_fuzzy(
