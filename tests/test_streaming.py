@@ -83,6 +83,33 @@ def test_backfill_once_per_channel(spark, tmp_path):
     ]
 
 
+def test_backfill_reads_no_output_and_keeps_late_copies_live(spark, tmp_path, monkeypatch):
+    rows = [(c * 100 + i, c, i) for c in (1, 2, 3) for i in range(6)] + [(900, None, 7)]
+    df = spark.createDataFrame(rows, "msg_id bigint, channel_id bigint, s bigint")
+    df = df.withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    # 104 is history and comes live two micro-batches after its channel was first heard.
+    for part in ("msg_id IN (105, 900)", "msg_id = 205", "msg_id IN (104, 305)"):
+        df.where(part).coalesce(1).write.mode("append").parquet(source)
+    stream = readers.read_stream(spark, source, df.schema, files_per_trigger=1)
+    history = df.where("msg_id NOT IN (105, 205, 305, 900)").unionByName(df.limit(1).withColumn("msg_id", F.lit(None).cast("bigint")))
+    read_back = []
+    work_of = runs.in_batches
+    def watched(stream, work, *rest):
+        def seen(batch, epoch):
+            done = work(batch, epoch)
+            read_back.extend(f for f in done.inputFiles() if f.startswith(f"file://{out}"))
+            return done
+        work_of(stream, seen, *rest)
+    monkeypatch.setattr(runs, "in_batches", watched)
+    served = spark.createDataFrame([(3,)], "channel_id bigint")
+    got = st.backfill_then_live(stream, history, out, str(tmp_path / "cp"), 2, served)
+    assert sorted((r.msg_id, r.is_live) for r in got.collect()) == [
+        (103, False), (104, True), (105, True), (203, False), (204, False), (205, True), (305, True), (900, True),
+    ]
+    assert read_back == []
+
+
 def test_cooldown_and_backoff_across_batches(spark, tmp_path):
     ticks = [1, 5, 11, 12, 21, 40]
     df = spark.createDataFrame([(1, t) for t in ticks], "channel_id bigint, tick bigint")

@@ -165,9 +165,8 @@ def st5(spark, d):
     run = Scratch(spark)
     columns = ["msg_id", "channel_id", "ts", "content", "turn"]
     m = messages(spark, d).select(columns)
-    m.where("turn = 3").coalesce(1).write.mode("append").parquet(run.live)
-    m.where("turn > 3").coalesce(1).write.mode("append").parquet(run.live)
-    stream = readers.read_stream(spark, run.live, m.schema, files_per_trigger=1)
+    files = write_parts(map(m.where, ("turn = 3", "turn = 4", "turn > 4")), run.live, "msg_id")
+    stream = readers.read_stream(spark, run.live, m.schema, files_per_trigger=files)
     both = st.backfill_then_live(stream, m.where("turn < 3"), run.out, run.checkpoint, 2)
     return both.select("msg_id", "is_live")
 

@@ -12,15 +12,16 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from threadloom import config as cfg
 from threadloom.config import ChatConfig
 from threadloom.functions import jsonio
 from threadloom.operators import gate, resolve, tokens, waiting_room
+from threadloom.operators.ordered import materialize
 from threadloom.plans.chains import sanitize_live
 from threadloom.streaming import runs
 
@@ -260,28 +261,56 @@ def moderate(
     return stream.sparkSession.read.option("basePath", path).parquet(path)
 
 
+def _channels_of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct channels of each Arrow batch, so that a hot channel shuffles few rows."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0).unique()], names=["channel_id"])
+
+
+def first_heard(stream: DataFrame) -> DataFrame:
+    """Each channel of the stream once, in the micro-batch that first has it.
+
+    Spark's keyed state holds the channels heard so far, one small row each.
+    """
+    channels = stream.select("channel_id").where(F.col("channel_id").isNotNull())
+    return channels.mapInArrow(_channels_of_batches, channels.schema).dropDuplicates(["channel_id"])
+
+
 def backfill_then_live(
-    stream: DataFrame, history: DataFrame, path: str, checkpoint: str, k: int = 10
+    stream: DataFrame,
+    history: DataFrame,
+    path: str,
+    checkpoint: str,
+    k: int = 10,
+    served: DataFrame | None = None,
 ) -> DataFrame:
-    """Live messages, and before a channel's first one its recent history, once.
-
-    The history is a snapshot from before the stream.  A message that comes
-    through both is kept as live.
+    """Live messages, and for each channel that is heard its recent history, once.
+
+    The history is a snapshot from before the stream; the k newest of each channel are
+    worked out once.  One query writes live messages as they come, a second one reads
+    their channels only, and writes the history of those it has not heard before; no
+    micro-batch reads what others have written.  ``served`` (channel_id) are channels whose
+    history an earlier run has given.  A message that comes through both, however late, is
+    kept as live.  Messages without a channel have no history; history rows without
+    an id are left out.
     """
     spark = stream.sparkSession
-    schema = T.StructType(stream.schema.fields + [T.StructField("is_live", T.BooleanType())])
-
-    def work(batch: DataFrame, epoch: int) -> DataFrame:
-        new = batch.select("channel_id").distinct()
-        if epoch > 0:
-            earlier = runs.read_epochs(spark, path, T.StructType(schema.fields), before=epoch)
-            new = new.join(earlier.select("channel_id").distinct(), "channel_id", "left_anti")
-        scoped = history.join(new, "channel_id", "left_semi")
-        recent = resolve.exclude_current(resolve.newest_k_per_channel(scoped, k).drop("rank"), batch)
-        return resolve.backfill_union_live(recent.select(batch.columns), batch)
-
-    runs.in_batches(stream, work, path, checkpoint)
-    return spark.read.schema(schema).option("basePath", path).parquet(path)
+    live_path, backfill_path = f"{path}/live", f"{path}/backfill"
+    scoped = history if served is None else history.join(served.select("channel_id"), "channel_id", "left_anti")
+    recent = resolve.newest_k_per_channel(scoped.where(F.col("channel_id").isNotNull()), k).drop("rank")
+    recent = materialize(recent.where(F.col("msg_id").isNotNull()).select(stream.columns))
+
+    # A stream without messages writes no epoch; its history is this empty one.
+    recent.limit(0).write.mode("overwrite").parquet(runs.epoch_path(backfill_path, -1))
+    live = runs.to_table(stream, live_path, f"{checkpoint}/live")
+    runs.in_batches(
+        first_heard(stream),
+        lambda channels, epoch: recent.join(channels, "channel_id", "left_semi").select(stream.columns),
+        backfill_path,
+        f"{checkpoint}/backfill",
+    )
+    backfill = spark.read.schema(stream.schema).option("basePath", backfill_path).parquet(backfill_path)
+    return resolve.backfill_union_live(resolve.exclude_current(backfill, live), live)
 
 
 def running_transcript(stream: DataFrame, budget: int = 500) -> DataFrame:
