@@ -31,6 +31,35 @@ def test_python_part(a, b):
         assert (ed.distance(a, b, limit) < limit) == (want < limit)
 
 
+@given(st.lists(st.tuples(texts, texts, st.integers(0, 9)), max_size=40), st.sampled_from([1, 64, ed.CELLS]))
+@settings(max_examples=200, deadline=None)
+def test_many_pairs_at_once(triples, cells):
+    """Whatever the pairs that share an array, each gets its own distance."""
+    xs, ys, limits = ([t[i] for t in triples] for i in range(3))
+    whole, ed.CELLS = ed.CELLS, cells
+    try:
+        got, exact = ed.distances(xs, ys, limits), ed.exact_distances(xs, ys)
+    finally:
+        ed.CELLS = whole
+    want = [plain(a, b) for a, b in zip(xs, ys)]
+    assert exact.tolist() == want
+    assert got.tolist() == [min(w, limit) for w, limit in zip(want, limits)]
+
+
+def test_long_pairs():
+    a = "the cat 1 sat. " * 150
+    changed = a[:700] + "7" + a[701:1500] + a[1504:] + "zz"
+    assert ed.distance(a, changed) == plain(a, changed) == ed.distance(changed, a)
+    assert ed.distance(a, changed, 3) == 3 and ed.distance(a, "q" * 10) == plain(a, "q" * 10)
+
+
+def test_first_closer_than(spark):
+    rows = [("hello", ["jelly", "hello there", "hallo", "hello"], 2), ("x", [], 3), (None, ["x"], 2), ("x", None, 2), ("abc", ["zzz"], None), ("abc", ["", "abc"], 1), ("abc", ["abd"], 0)]
+    df = spark.createDataFrame(rows, "t string, o array<string>, n int")
+    got = [r.i for r in df.select(ed.first_closer_than("t", "o", "n").alias("i")).collect()]
+    assert got == [2, None, None, None, None, 0, None]
+
+
 @given(st.lists(st.tuples(texts, texts), min_size=20, max_size=60))
 @settings(max_examples=5, deadline=None)
 def test_native(spark, pairs):

@@ -82,8 +82,10 @@ def near_duplicate_reply(
         F.col("_pairs")
     )
     asked = F.transform(doubtful, lambda p: p["bare"])
+    # Python gets the texts of rows with a doubtful pair; of all others, nulls.
+    is_open = F.size(asked) > 0
     found = reach.withColumn(
-        "_at", first_closer_than(F.col("_bare"), asked, F.col("_limit"))
+        "_at", first_closer_than(F.when(is_open, F.col("_bare")), F.when(is_open, asked), F.col("_limit"))
     )
     at = F.coalesce(F.col("_at"), F.when(F.col("_sure") > 0, F.col("_sure").cast("int") - 1))
     hit = F.when(at.isNotNull(), F.get("_pairs", at)["line"])
