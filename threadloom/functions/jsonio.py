@@ -32,6 +32,11 @@ def parse_choices(body: Column) -> Column:
     return F.struct(status.alias("status"), text.alias("text"))
 
 
+def parse_answer(body: Column, second_backend: bool = False) -> Column:
+    """Struct of status and text of the response of either backend."""
+    return parse_candidates(body) if second_backend else parse_choices(body)
+
+
 def affirmative(text: Column) -> Column:
     """A verdict is a yes when it holds the letter y anywhere."""
     return F.contains(F.lower(text), F.lit("y"))

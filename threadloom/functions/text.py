@@ -253,8 +253,9 @@ def attachment_note(name: Column, n_attachments: Column) -> Column:
     return F.when(n_attachments > 0, note).otherwise("")
 
 
-def reply_prompt(lines: Column, conf: ChatConfig) -> Column:
-    return F.concat(F.lit(conf.character_prompt), lines, F.lit("\n" + conf.reply_header))
+def reply_prompt(lines: Column, conf: ChatConfig, second_backend: bool = False) -> Column:
+    character = conf.second_character_prompt if second_backend else conf.character_prompt
+    return F.concat(F.lit(character), lines, F.lit("\n" + conf.reply_header))
 
 
 def verdict_prompt(lines: Column, conf: ChatConfig) -> Column:

@@ -218,6 +218,37 @@ def p6_live_replies(spark, d):
     return _reply_prompts(spark, d, live(spark, d), "filtered")
 
 
+# --- the second backend ---------------------------------------------------------------------------
+
+_NESTED = "$.contents[0].parts[0].text"
+
+
+@query("p6_second_verdict_requests", _verdict_twin(_LIVE).replace(
+    "AS max_tokens FROM", "AS max_tokens, 'BLOCK_MEDIUM_AND_ABOVE' AS strictest FROM"
+))
+def p6_second_requests(spark, d):
+    asked = chains.verdict_requests(live(spark, d), derived.users(spark, d), TEST, filtered="filtered", second_backend=True)
+    return asked.select(
+        "msg_id", F.get_json_object("request", _NESTED).alias("prompt"),
+        F.get_json_object("request", "$.generation_config.max_output_tokens").alias("max_tokens"),
+        F.get_json_object("request", "$.safety_settings[1].threshold").alias("strictest"),
+    )
+
+
+@query(
+    "p6_second_reply_requests",
+    _reply_twin(_LIVE)
+    .replace(lit(TEST.character_prompt), lit(TEST.second_character_prompt))
+    .replace("CASE WHEN wanted THEN '140' ELSE '280' END AS max_tokens", "'350' AS max_tokens"),
+)
+def p6_second_replies(spark, d):
+    asked = chains.reply_requests(live(spark, d), derived.users(spark, d), TEST, filtered="filtered", second_backend=True)
+    return asked.select(
+        "msg_id", "is_picture", F.get_json_object("request", _NESTED).alias("prompt"),
+        F.get_json_object("request", "$.generation_config.max_output_tokens").alias("max_tokens"),
+    )
+
+
 # One transition of a channel's gate at a time: its next event, or what is due before it.
 _NEVER = 4_000_000_000_000
 GATE = f"""{M},
@@ -270,6 +301,17 @@ def p6_gate(spark, d):
     return chains.reply_gate(m, verdicts, TEST)
 
 
+@query(
+    "p6_second_backend_gate",
+    f"WITH RECURSIVE {GATE} SELECT channel_id, o_id AS msg_id, o_at AS \"at\", o_action AS reason FROM s WHERE o_id IS NOT NULL".replace(
+        "contains(lower(content), 'y') AS yes", "(conv_id + turn) % 5 = 1 AND contains(lower(content), 'y') AS yes"
+    ),
+)
+def p6_second_gate(spark, d):
+    verdicts = chains.verdicts_of(derived.responses(spark, d), second_backend=True)
+    return chains.reply_gate(messages(spark, d), verdicts, TEST)
+
+
 # --- pictures -------------------------------------------------------------------------------------
 
 _ANSWER_TAIL = "\n# next " + TEST.reply_header + " here you are"
@@ -286,31 +328,41 @@ _PICTURES = f"""{M}, asked AS (SELECT *, content || {lit(_ANSWER_TAIL)} AS answe
 _HEADER = lit(TEST.reply_header)
 
 
-@query(
-    "p4_picture_request",
-    f"""WITH {_PICTURES} SELECT msg_id AS request_id, selfie, CASE WHEN img THEN 'img2img' ELSE 'txt2img' END AS endpoint,
+_P4 = f"""WITH {_PICTURES} SELECT msg_id AS request_id, selfie, CASE WHEN img THEN 'img2img' ELSE 'txt2img' END AS endpoint,
       CASE WHEN selfie AND NOT img THEN {lit(cfg.PICTURE_CHARACTER)} ELSE '' END || format || ' ((' || head || '))' AS prompt,
       CAST(CASE WHEN img THEN 640 WHEN selfie THEN 688 ELSE 768 END AS INT) AS width,
       chr(10) || '[System]: Bot attached an image: Bot, ' || format || replace(head, chr(10), ', ') || chr(10) AS memory_line,
       CASE WHEN contains(tail, {_HEADER}) THEN replace(substr(tail, instr(tail, {_HEADER})), {_HEADER}, '') END AS message
-    FROM p""",
-)
+    FROM p"""
+
+
+@query("p4_picture_request", _P4)
 def p4(spark, d):
-    return _planned(messages(spark, d)).select(
-        "request_id", "selfie", "plan.endpoint", "plan.prompt", "plan.width", "memory_line", "message"
-    )
+    return _picture_plans(_planned(messages(spark, d)))
+
+
+@query("p4_second_backend", _P4)
+def p4_second(spark, d):
+    return _picture_plans(_planned(messages(spark, d), second_backend=True))
 
 
-def _planned(m):
+def _picture_plans(planned):
+    return planned.select("request_id", "selfie", "plan.endpoint", "plan.prompt", "plan.width", "memory_line", "message")
+
+
+def _planned(m, second_backend=False):
     requests = m.select(
         F.col("msg_id").alias("request_id"), "content", F.lit("no echo").alias("prompt"), "n_attachments",
         F.lit(640).alias("attached_width"), F.lit(480).alias("attached_height"),
     )
     text = F.struct(F.concat("content", F.lit(_ANSWER_TAIL)).alias("text"))
-    responses = m.select(
-        F.col("msg_id").alias("request_id"), F.to_json(F.struct(F.array(text).alias("choices"))).alias("body")
-    )
-    return chains.picture_replies(requests, responses, TEST)
+    if second_backend:
+        content = F.struct(F.struct(F.array(text).alias("parts")).alias("content"))
+        answer = F.array(content).alias("candidates")
+    else:
+        answer = F.array(text).alias("choices")
+    responses = m.select(F.col("msg_id").alias("request_id"), F.to_json(F.struct(answer)).alias("body"))
+    return chains.picture_replies(requests, responses, TEST, second_backend=second_backend)
 
 
 _DRAWN = texts._concat(

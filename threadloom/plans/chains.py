@@ -91,31 +91,65 @@ def postprocess_reply(
 
 
 def verdict_requests(
-    messages: DataFrame, users: DataFrame, conf: ChatConfig, line: str = "line", filtered: str | None = None
+    messages: DataFrame,
+    users: DataFrame,
+    conf: ChatConfig,
+    line: str = "line",
+    filtered: str | None = None,
+    second_backend: bool = False,
 ) -> DataFrame:
     """Add ``request``: asks a model whether the bot is addressed.
 
     Context is the last lines of the conversation, notes of pictures counted as lines; a
     reply has the quoted message just before it.  ``filtered`` is the message's line
     without its note (that of ``sanitize_live``), where ``line`` has one.
+    ``second_backend`` asks in the nested form, with the stricter safety settings of a check.
     """
     recent = transcript.last_text_lines(messages, "conv_id", "turn", line, conf.context_lines, conf.block_rows, "_recent")
     threaded = resolve.thread_context(recent, users, conf)
     text = resolve.thread_lines(F.col("_recent"), F.col("quote_line"), F.col(filtered or line), drop_last=1)
     context = F.when(F.col("quote_line").isNull(), F.concat(text, F.lit("\n"))).otherwise(text)
     prompt = tx.verdict_prompt(context, conf)
-    return threaded.withColumn("prompt", prompt).withColumn(
-        "request", jsonio.completion_request(F.col("prompt"), TOKEN_LIMITS["verdict"])
-    ).drop("_recent")
+    if second_backend:
+        request = jsonio.content_request(F.col("prompt"), verdict=True)
+    else:
+        request = jsonio.completion_request(F.col("prompt"), TOKEN_LIMITS["verdict"])
+    return threaded.withColumn("prompt", prompt).withColumn("request", request).drop("_recent")
+
+
+def model_answers(responses: DataFrame, second_backend: bool = False) -> DataFrame:
+    """request_id, status and text of stored model responses (request_id, body).
+
+    The text is null where the status is not ok: a blocked, malformed or missing answer.
+    """
+    parsed = responses.select("request_id", jsonio.parse_answer(F.col("body"), second_backend).alias("_answer"))
+    return parsed.select("request_id", "_answer.status", "_answer.text")
+
+
+def verdicts_of(responses: DataFrame, second_backend: bool = False) -> DataFrame:
+    """Verdicts for ``reply_gate`` from the responses to ``verdict_requests``: msg_id, answer.
+
+    A response without a text (blocked by the safety settings, say) is no yes, and counts as
+    a no; a message without any response has no verdict.
+    """
+    heard = model_answers(responses, second_backend)
+    return heard.select(F.col("request_id").alias("msg_id"), F.coalesce("text", F.lit("")).alias("answer"))
 
 
 def reply_requests(
-    messages: DataFrame, users: DataFrame, conf: ChatConfig, line: str = "line", filtered: str | None = None
+    messages: DataFrame,
+    users: DataFrame,
+    conf: ChatConfig,
+    line: str = "line",
+    filtered: str | None = None,
+    second_backend: bool = False,
 ) -> DataFrame:
     """Add ``request``: the chat prompt, or the picture prompt for a picture request.
 
     The chat prompt has the last ``char_budget`` characters of the transcript.  Whether a
     picture is asked for is read off ``filtered``, the line without its note.
+    ``second_backend`` asks in the nested form, with that backend's character and one token
+    limit for both kinds.
     """
     memory = transcript.memory_text(messages, "conv_id", "turn", line, conf.char_budget, conf.block_rows, "_memory")
     threaded = resolve.thread_context(memory, users, conf)
@@ -127,18 +161,22 @@ def reply_requests(
     quoted = F.regexp_extract("quote_line", r"^\[[^\]]*\]: ([\s\S]*)$", 1)
     quote = F.when(F.col("quote_line").isNotNull(), quoted)
     prompt = F.when(F.col("is_picture"), pictures.picture_prompt(F.col("content"), quote, conf)).otherwise(
-        tx.reply_prompt(text, conf)
+        tx.reply_prompt(text, conf, second_backend)
     )
     limit = F.when(F.col("is_picture"), TOKEN_LIMITS["picture"]).otherwise(TOKEN_LIMITS["reply"])
-    return (
-        wants.withColumn("prompt", prompt)
-        .withColumn("request", jsonio.completion_request(F.col("prompt"), limit))
-        .drop("_memory")
-    )
+    if second_backend:
+        request = jsonio.content_request(F.col("prompt"))
+    else:
+        request = jsonio.completion_request(F.col("prompt"), limit)
+    return wants.withColumn("prompt", prompt).withColumn("request", request).drop("_memory")
 
 
 def picture_replies(
-    requests: DataFrame, responses: DataFrame, conf: ChatConfig, message: str = "content"
+    requests: DataFrame,
+    responses: DataFrame,
+    conf: ChatConfig,
+    message: str = "content",
+    second_backend: bool = False,
 ) -> DataFrame:
     """From picture requests and stored model responses to picture parameters.
 
@@ -147,7 +185,7 @@ def picture_replies(
     """
     asked = requests.where(pictures.picture_request(F.col(message)))
     answered = asked.join(responses, "request_id")
-    parsed = answered.withColumn("_text", jsonio.parse_choices(F.col("body"))["text"]).where(
+    parsed = answered.withColumn("_text", jsonio.parse_answer(F.col("body"), second_backend)["text"]).where(
         F.col("_text").isNotNull()
     )
     masked = moderation.with_mask_fuzzy(parsed, "_text", conf.fuzzy_words, "")
