@@ -1,8 +1,8 @@
 """URL filters: a trie over reversed host labels, then path segments.
 
 The rules are compiled into one trie, broadcast, and walked once for each URL; the
-deepest entry on the way wins, so that a longer allow entry opens part of what a
-block entry closes, and the other way round.
+longest entry on the way (host and path together) wins, so that a longer allow entry
+opens part of what a block entry closes, and the other way round.
 """
 
 from __future__ import annotations
@@ -52,31 +52,34 @@ def trie_of(rules: Iterable[tuple[str, str, str]]) -> Node:
 
 
 def walk(root: Node, host: str, path: str) -> tuple[str, str] | None:
-    """The entry of the longest host, then path, that fits."""
-    best, nodes = None, []
+    """The entry that fits with the longest host and path together; of equal ones that of the longer host."""
+    best = None
+    parts = path.split("/")
+
+    def offer(entry: tuple[str, str] | None) -> None:
+        nonlocal best
+        # Hosts come from the shortest on: an equally long entry has the longer host.
+        if entry and (best is None or len(entry[1]) >= len(best[1])):
+            best = entry
+
     node = root
     for label in reversed(host.split(".")):
         node = node.labels.get(label)
         if node is None:
             break
-        nodes.append(node)
-    parts = path.split("/")
-    for node in reversed(nodes):  # the longest host first
-        best = node.entry
+        offer(node.entry)
         at = node
         for i, part in enumerate(parts):
-            fits = [s for s in at.starts if part.startswith(s)]
-            if fits:
-                best = at.starts[max(fits, key=len)]
+            for start, entry in at.starts.items():
+                if part.startswith(start):
+                    offer(entry)
             if i == len(parts) - 1:
                 break
             at = at.segments.get(part)
             if at is None:
                 break
-            best = at.entry or best
-        if best:
-            return best
-    return None
+            offer(at.entry)
+    return best
 
 
 @own_names
@@ -88,9 +91,10 @@ def url_filters(
     The host is what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end,
     A-Z lower-cased; the path goes on to ``?``, ``#`` or the end.  Of null or without
     ``://`` both are empty.  A rule fits its host and all subdomains if the path
-    starts with the rule's.  Where none fits, rule is null and the verdict is
+    starts with the rule's.  The one with the longest host and path together wins; of equal
+    ones that of the longer host, of the same host and path the block.  Where none fits, rule is null and the verdict is
     ``default``, or ``no_host`` where there is no host to judge.  Columns of the new
-    names give way; rows are independent of each other.
+    names give way; rows are independent of each other; of an empty table the result is empty.
     """
     rules = list(rules)
     if len(rules) > MOST_RULES:
