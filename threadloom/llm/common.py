@@ -65,6 +65,19 @@ def own_names(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
+def join_uneven(rows: DataFrame, values: DataFrame, key: str, n: str, most_hot: int = 1000) -> DataFrame:
+    """``rows`` (a written table) inner-joined with ``values`` by ``key``, where few keys may hold most rows.
+
+    ``values`` has each key once, with the number ``n`` of its rows.  Keys that hold at least
+    one in ``most_hot`` of all rows are no more than ``most_hot``: these are broadcast, and their
+    rows stay where they are.  All others are joined by shuffling.
+    """
+    least = max(rows.count() // most_hot, 2)
+    hot = F.broadcast(values.where(F.col(n) >= least))
+    evenly = rows.join(hot.select(key), key, "left_anti").join(values.where(F.col(n) < least), key)
+    return rows.join(hot, key).unionByName(evenly)
+
+
 # --- columns -----------------------------------------------------------------
 
 

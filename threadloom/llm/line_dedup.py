@@ -18,16 +18,28 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import encoded, own_names, shared_table
+from threadloom.llm.common import encoded, join_uneven, own_names, shared_table
 
 #: White space that bytes.strip() takes off: \\x20 and \\x09-\\x0D.
 LEAST_CHARS = 10
-#: Bits of each filter: 4 MB, which every task holds twice and the driver once.
-FILTER_BITS = 1 << 25
+#: Bits of each filter for a line of the input, rounded up to a power of two: 2 probes then
+#: fill a fifth of it at most.  A task holds two filters, the driver one.
+BITS_PER_LINE = 8
+#: 1 MB at least and 64 MB at most; the most is enough for 67 million lines (and for 270 million
+#: fills two thirds: then about 4 lines in 10 shuffle without need).
+LEAST_BITS, MOST_BITS = 1 << 23, 1 << 29
 PROBES = 2
 CHUNK_BYTES = 1 << 16
 
 
+def filter_bits_for(docs: DataFrame, text: str) -> int:
+    """Bits of a filter for as many lines as ``docs`` has."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    lines = F.octet_length(whole) - F.octet_length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1
+    wanted = BITS_PER_LINE * (docs.select(F.sum(lines.cast("long"))).first()[0] or 0)
+    return min(max(1 << max(wanted - 1, 1).bit_length(), LEAST_BITS), MOST_BITS)
+
+
 def keys_of(text: str | None, least_chars: int) -> list[bytes | None]:
     """The key of each line; None for one that is too short to count."""
     found = []
@@ -181,7 +193,7 @@ def line_dedup(
     doc_id: str = "doc_id",
     text: str = "text",
     least_chars: int = LEAST_CHARS,
-    filter_bits: int = FILTER_BITS,
+    filter_bits: int | None = None,
 ) -> DataFrame:
     """``docs`` with repeated lines left only in their first document.
 
@@ -190,13 +202,15 @@ def line_dedup(
     one of the smallest id, there with all its repeats.  Adds n_lines (before) and
     n_dropped; columns of these names give way.  A null text counts as one empty
     line and stays null.  Rows of one id are one document; rows without an id
-    neither lose lines nor take any from others.  With more lines than
-    ``filter_bits`` can tell apart, more rows shuffle and the result is the same.
+    neither lose lines nor take any from others.  ``filter_bits`` goes by the number
+    of lines where it is not given; with more lines than it can tell apart, more rows
+    shuffle and the result is the same.  Of an empty table the result is empty.
     """
     spark = docs.sparkSession
+    known = docs.where(F.col(doc_id).isNotNull())
+    filter_bits = filter_bits or filter_bits_for(known, text)
     if filter_bits % (8 * CHUNK_BYTES):
         raise ValueError(f"filter_bits must be a multiple of {8 * CHUNK_BYTES}")
-    known = docs.where(F.col(doc_id).isNotNull())
     shared = spark.sparkContext.broadcast(repeated_filter(known, text, filter_bits, least_chars).tobytes())
     id_type = docs.schema[doc_id].dataType.simpleString()
     found = shared_table(
@@ -205,13 +219,14 @@ def line_dedup(
         ),
         "suspect-lines",
     )
-    firsts = (
+    firsts = shared_table(
         found.groupBy("digest")
-        .agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last"))
-        .where(F.col("_first") < F.col("_last"))
+        .agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last"), F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_first") < F.col("_last")),
+        "repeated-lines",
     )
     drops = (
-        found.join(firsts, "digest")
+        join_uneven(found, firsts, "digest", "_n")
         .where(F.col("doc_id") > F.col("_first"))
         .groupBy(F.col("doc_id").alias("_id"))
         .agg(F.collect_set("digest").alias("_drops"))
