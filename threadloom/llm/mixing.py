@@ -1,10 +1,11 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Each source's share of the mix becomes copies per document: whole copies are
-certain, and the fraction that is left is the document's odds of one copy more.
-Documents are ranked by their random odds over these odds, and taken in that order
-until the words of the source's fraction are reached, which gives a sample of
-fixed size.  Ranks come from running sums over buckets of the order, so that no
+certain, and the fraction that is left is spread over the source's documents as unequal
+inclusion probabilities, so that a long document is up to twice as likely to have one copy more as a
+short one, and the words expected are those of the fraction.  Documents are ranked by
+their random odds over their inclusion odds, and taken in that order until these words
+are reached, which gives a sample of fixed size.  Ranks come from running sums over buckets of the order, so that no
 task holds a source.
 """
 
@@ -29,14 +30,16 @@ def words_in(text: Column) -> Column:
 def source_targets(
     sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most_times: float = MOST_TIMES
 ) -> DataFrame:
-    """(_key, source_size, target) of each source; one row per source.
+    """(_key, source_size, _documents, target) of each source; one row per source.
 
     Sources weigh ``weights`` in turn, in order of code points, null last.  A target
     stops at ``most_times`` its source's size and its excess goes to the others by
     weight: each target is the lesser of its limit and weight times one level, which
     the sources in order of limit by weight give in closed form.
     """
-    per_source = sizes.groupBy("_key", "_source").agg(F.sum("size").alias("source_size"))
+    per_source = sizes.groupBy("_key", "_source").agg(
+        F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_documents")
+    )
     in_order = Window.orderBy(F.col("_source").isNull(), "_source")
     by_limit = Window.orderBy("_ratio", "_key")
     place = F.pmod(F.row_number().over(in_order) - 1, F.lit(len(weights)))
@@ -57,7 +60,7 @@ def source_targets(
     )
     level = F.max("_level").over(everything)
     target = F.least(F.col("_limit"), F.col("_weight") * level)
-    return levels.select("_key", "source_size", target.cast("double").alias("target"))
+    return levels.select("_key", "source_size", "_documents", target.cast("double").alias("target"))
 
 
 def random_of(doc_id: Column, seed: int) -> Column:
@@ -66,11 +69,24 @@ def random_of(doc_id: Column, seed: int) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(16**12))
 
 
-def copies_of(doc_id: Column, seed: int) -> tuple[Column, Column]:
-    """Certain copies of a document, and its place in its source's order, in [0, 1]."""
+def pull_of(size: Column) -> Column:
+    """How strongly a document draws its source's fraction: 500 for a short one, up to 1000 for a long one.
+
+    A whole number, so that its sums are the same in every run.
+    """
+    mean = F.call_function("div", F.col("source_size"), F.col("_documents"))
+    return 500 + F.call_function("div", 500 * size, F.greatest(size + mean, F.lit(1)))
+
+
+def copies_of(doc_id: Column, size: Column, seed: int) -> tuple[Column, Column]:
+    """Certain copies of a document, and its place in its source's order, in [0, 1].
+
+    Reads source_size, target, _documents and _pulls, the sum of size times pull, of its source.
+    """
     per_word = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     whole = F.floor(per_word)
-    p = per_word - whole
+    spread = F.try_divide((per_word - whole) * pull_of(size) * F.col("source_size"), F.col("_pulls"))
+    p = F.least(spread, F.lit(1.0))
     u = random_of(doc_id, seed)
     odds = (u / (1 - u)) * (1 - p) / p
     order = F.when(p > 0, odds / (1 + odds)).otherwise(F.lit(1.0))
@@ -94,9 +110,10 @@ def mix_sources(
     The size is the number of words (of a null text 0), taken is copies times size.
     Sources have one row each in a small table, which must fit one task; documents
     of one source may be any number.  A null source is a source, an empty string
-    another; a source without any words has target 0 and none of it is taken.  Rows of one id have one random number; rows of one id and size go in
-    or stay out together.  Documents without an id count as one id.  New columns
-    take the place of old ones of their names.
+    another; a source without any words has target 0 and none of it is taken.  Rows of
+    one id have one random number; rows of one id and size go in or stay out together.
+    Documents without an id count as one id.  New columns take the place of old ones of
+    their names.  Of an empty table the result is empty.
     """
     made = ("size", "source_size", "target", "copies", "taken")
     rest = docs.drop(*made)
@@ -108,7 +125,9 @@ def mix_sources(
         "sizes",
     )
     targets = shared_table(source_targets(sizes, weights, share, most_times), "targets")
-    whole, order = copies_of(F.col("_id"), seed)
+    pulls = sizes.join(targets, "_key").groupBy("_key").agg(F.sum(F.col("size") * pull_of(F.col("size"))).alias("_pulls"))
+    targets = shared_table(targets.join(pulls, "_key"), "pulls")
+    whole, order = copies_of(F.col("_id"), F.col("size"), seed)
     ranked = (
         sizes.join(targets, "_key")
         .where("source_size > 0")
@@ -131,7 +150,7 @@ def mix_sources(
         .agg(F.max(F.struct("_order", "_id", "size")).alias("_last"))
     )
     cuts = shared_table(targets.join(last, "_key", "left"), "cuts")
-    whole, order = copies_of(id_text, seed)
+    whole, order = copies_of(id_text, F.col("size"), seed)
     mixed = (
         rest.withColumn("size", words_in(F.col(text)))
         .withColumn("_key", key)

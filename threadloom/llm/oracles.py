@@ -133,7 +133,7 @@ m_sizes AS (
   SELECT doc_id, source, coalesce('s' || source, '-') AS k, len({WORDS}) AS size,
     (('0x' || substr(md5(concat_ws(':', '0', coalesce(doc_id::VARCHAR, '-'))), 1, 12))::BIGINT + 0.5::DOUBLE) / {float(16**12)}::DOUBLE AS u
   FROM {docs}),
-m_sources AS (SELECT k, any_value(source) AS source, sum(size)::BIGINT AS source_size FROM m_sizes GROUP BY k),
+m_sources AS (SELECT k, any_value(source) AS source, sum(size)::BIGINT AS source_size, count(*) AS n_docs FROM m_sizes GROUP BY k),
 m_limits AS (SELECT *, {weights} AS wt, source_size * {MOST_TIMES}::DOUBLE AS lim FROM m_sources),
 m_levels AS (
   SELECT *, ((SELECT sum(source_size) FROM m_sources) * {SHARE}::DOUBLE
@@ -141,12 +141,14 @@ m_levels AS (
       / sum(wt) OVER (ORDER BY lim / wt, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev
   FROM m_limits),
 m_level AS (SELECT max(lev) AS lev FROM m_levels),
-m_targets AS (SELECT k, source_size, least(lim, wt * (SELECT lev FROM m_level))::DOUBLE AS target FROM m_levels),
+m_targets AS (SELECT k, source_size, n_docs, least(lim, wt * (SELECT lev FROM m_level))::DOUBLE AS target FROM m_levels),
 m_rates AS (
-  SELECT s.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate
+  SELECT s.*, t.source_size, t.target, 500 + (500 * size) // greatest(size + source_size // n_docs, 1) AS pull, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate
   FROM m_sizes s JOIN m_targets t USING (k)),
-m_odds AS (SELECT *, floor(rate) AS whole, rate - floor(rate) AS p FROM m_rates),
-m_order AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) * (1 - p) / p ELSE 0 END AS odds FROM m_odds),
+m_pulls AS (
+  SELECT *, floor(rate) AS whole, rate - floor(rate) AS p, sum(size * pull) OVER (PARTITION BY k)::BIGINT AS pulls FROM m_rates),
+m_odds AS (SELECT *, CASE WHEN pulls > 0 THEN least(p * pull * source_size / pulls, 1) ELSE 0 END AS q FROM m_pulls),
+m_order AS (SELECT *, CASE WHEN q > 0 THEN (u / (1 - u)) * (1 - q) / q ELSE 0 END AS odds FROM m_odds),
 m_before AS (
   SELECT *, coalesce(sum(size) OVER (PARTITION BY k ORDER BY odds, coalesce(doc_id::VARCHAR, '-'), size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS words_before
   FROM m_order),
