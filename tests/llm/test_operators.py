@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from test_catalog import base_spans
 
 from threadloom.llm import pii
-from threadloom.llm.common import words
+from threadloom.llm.common import join_uneven, words
 from threadloom.llm.decontaminate import benchmark_overlaps, decontaminated
 from threadloom.llm.licenses import BASE, TEMPLATES, Template, license_scan
-from threadloom.llm.line_dedup import line_dedup
+from threadloom.llm.line_dedup import LEAST_BITS, MOST_BITS, filter_bits_for, line_dedup
 from threadloom.llm.mixing import mix_sources
 from threadloom.llm.near_dedup import components, near_dedup, shingle_set
 from threadloom.llm.quality_model import BUCKETS, Features, ShapeHashes, fit, quality_scores
@@ -96,6 +96,18 @@ def test_mixing_with_a_source_without_words(spark):
         assert [r.taken for r in mix_sources(docs(spark, *texts)).collect()] == [0] * len(texts)
 
 
+def test_mixing_prefers_long_documents_and_meets_its_targets(spark):
+    """Inclusion probabilities differ within a source; the words taken stay near the target."""
+    rows = [(i, "w " * (5 if i % 2 else 400), "", "s" if i % 3 else "t", 0) for i in range(6000)]
+    mixed = mix_sources(spark.createDataFrame(rows, SCHEMA), weights=(1, 2), share=0.7).withColumn("long", F.col("size") > 100)
+    per_source = mixed.groupBy("source").agg(F.max("target").alias("target"), F.sum("taken").alias("taken")).collect()
+    assert all(abs(r.taken - r.target) <= 400 for r in per_source)
+    share = {(r.source, r.long): r.share for r in mixed.groupBy("source", "long").agg(F.avg("copies").alias("share")).collect()}
+    for source in "st":
+        short, long = share[source, False] % 1, share[source, True] % 1
+        assert short < long < 2 * short
+
+
 URL_TABLE = "page_id long, url string, _found string, _rest string, host string"
 
 
@@ -107,6 +119,23 @@ def test_url_filters_on_odd_rows(spark):
     assert url_filters(spark.createDataFrame([], URL_TABLE), RULES).collect() == []
 
 
+def test_longest_rule_counts_host_and_path(spark):
+    rules = [("block", "com", "/verylongpath/"), ("allow", "example.com", "/"), ("block", "b.example.com", "/x"), ("allow", "example.com", "/x/y")]
+    root = trie_of(rules)
+    assert walk(root, "example.com", "/verylongpath/a") == ("block", "com/verylongpath/")
+    assert walk(root, "example.com", "/other") == ("allow", "example.com/")
+    assert walk(root, "b.example.com", "/x/y") == ("block", "b.example.com/x")  # as long, with the longer host
+    assert walk(root, "b.example.com", "/") == ("allow", "example.com/")
+    r = random.Random(3)
+    rules = [(r.choice(["allow", "block"]), r.choice(["com", "a.com", "b.a.com", "b.com"]), r.choice(["", "/", "/a", "/a/", "/ab", "/a/b", "/abcdef"])) for _ in range(14)]
+    rules = list({rule[1:]: rule for rule in rules}.values())
+    root = trie_of(rules)
+    for host in ("com", "a.com", "b.a.com", "b.com", "c.b.com", "org"):
+        for path in ("", "/", "/a", "/a/", "/a/b", "/abc", "/abcdefg", "/a/bc/"):
+            fits = [(len(h + p), len(h), (v, h + p)) for v, h, p in rules if ("." + host).endswith("." + h) and path.startswith(p)]
+            assert walk(root, host, path) == (max(fits)[2] if fits else None)
+
+
 def test_filter_on_kept_works_figures_out_once(spark):
     """The symbol pattern stands once in the plan, however many rules read its count."""
     kept = quality_rules(docs(spark, "x")).where("kept").select("doc_id", "text")
@@ -125,6 +154,23 @@ def test_line_dedup(spark):
     }
 
 
+def test_filter_bits_go_by_the_number_of_lines(spark):
+    assert filter_bits_for(docs(spark, None, "", "a"), "text") == LEAST_BITS == filter_bits_for(docs(spark), "text")
+    many = spark.range(100).select(F.repeat(F.lit("a\n"), 30_000).alias("text"))  # 3,000,100 lines
+    assert filter_bits_for(many, "text") == 1 << 25 and LEAST_BITS < 1 << 25 < MOST_BITS
+
+
+def test_join_uneven(spark, tmp_path):
+    """Hot keys by broadcast, the others by shuffling: the rows of a plain join."""
+    rows = spark.range(6000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 1500)).alias("key"), "id")
+    rows.write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    values = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("key <> 'k7'")
+    got = join_uneven(rows, values, "key", "n", 100).select("key", "id", "n", "first")
+    want = rows.join(values, "key").select("key", "id", "n", "first")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_line_dedup_is_exact_with_a_full_filter(spark):
     d = spark.createDataFrame([(i, "\n".join(f"line number {j} of all" for j in range(i, i + 40)), "", "s", 0) for i in range(0, 400, 20)], SCHEMA)
     small, large = (line_dedup(d.repartition(5), filter_bits=b).orderBy("doc_id").collect() for b in (1 << 19, 1 << 23))
