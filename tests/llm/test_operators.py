@@ -166,7 +166,7 @@ def test_join_uneven(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "rows"))
     rows = spark.read.parquet(str(tmp_path / "rows"))
     values = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("key <> 'k7'")
-    got = join_uneven(rows, values, "key", "n", 100).select("key", "id", "n", "first")
+    got = join_uneven(rows, values, "key", "n", F.concat("key", F.lit("#"), "id"), 100).select("key", "id", "n", "first")
     want = rows.join(values, "key").select("key", "id", "n", "first")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 

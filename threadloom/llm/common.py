@@ -65,17 +65,22 @@ def own_names(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
-def join_uneven(rows: DataFrame, values: DataFrame, key: str, n: str, most_hot: int = 1000) -> DataFrame:
+def join_uneven(rows: DataFrame, values: DataFrame, key: str, n: str, elsewhere: Column, most_hot: int = 1000) -> DataFrame:
     """``rows`` (a written table) inner-joined with ``values`` by ``key``, where few keys may hold most rows.
 
     ``values`` has each key once, with the number ``n`` of its rows.  Keys that hold at least
-    one in ``most_hot`` of all rows are no more than ``most_hot``: these are broadcast, and their
-    rows stay where they are.  All others are joined by shuffling.
+    one in ``most_hot`` of all rows are no more than ``most_hot``: their values are broadcast, and
+    their rows go by ``elsewhere``, which differs from row to row and equals no other key.  All
+    others meet by shuffling, in the same pass.
     """
+    names = [c for c in values.columns if c != key]
     least = max(rows.count() // most_hot, 2)
-    hot = F.broadcast(values.where(F.col(n) >= least))
-    evenly = rows.join(hot.select(key), key, "left_anti").join(values.where(F.col(n) < least), key)
-    return rows.join(hot, key).unionByName(evenly)
+    found = F.struct(*names).alias("_found")
+    hot = F.broadcast(values.where(F.col(n) >= least).select(key, found.alias("_hot")))
+    even = values.where(F.col(n) < least).select(F.col(key).alias("_where"), found)
+    marked = rows.join(hot, key, "left").withColumn("_where", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(elsewhere))
+    joined = marked.join(even, "_where", "left").withColumn("_found", F.coalesce("_hot", "_found"))
+    return joined.where(F.col("_found").isNotNull()).select(*rows.columns, *[F.col(f"_found.{c}").alias(c) for c in names])
 
 
 # --- columns -----------------------------------------------------------------

@@ -226,7 +226,8 @@ def line_dedup(
         "repeated-lines",
     )
     drops = (
-        join_uneven(found, firsts, "digest", "_n")
+        # A digest and an id are longer than a digest, and equal none.
+        join_uneven(found, firsts, "digest", "_n", F.concat("digest", F.encode(F.col("doc_id").cast("string"), "utf-8")))
         .where(F.col("doc_id") > F.col("_first"))
         .groupBy(F.col("doc_id").alias("_id"))
         .agg(F.collect_set("digest").alias("_drops"))
